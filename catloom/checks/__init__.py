@@ -1,0 +1,10 @@
+"""Queries over the given tables, one per operator, with reference SQL."""
+
+from importlib import import_module
+
+MODULES = ("text_checks",)
+
+
+def load_all() -> None:
+    for module in MODULES:
+        import_module(f"catloom.checks.{module}")
