@@ -51,7 +51,7 @@ def oracle(views: str, body: str) -> str:
     for name in _closure(views.split(), []):
         sql, inputs = VIEWS[name]
         parts.append(f"{name} AS ({sql.format(**{i: i for i in inputs})})")
-    recursive = "RECURSIVE " if "UNION ALL /*recursive*/" in body else ""
+    recursive = "RECURSIVE " if "/*recursive*/" in body else ""
     if not parts:
         return body
     joiner = ", ".join(parts)

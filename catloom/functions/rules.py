@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from catloom import vocabulary as V
 from catloom.functions.parse import clean_markup
 from catloom.functions.text import match_key_spaced, squeeze, strip, strip_accents, tokens
-from catloom.functions.values import as_col, blank_to_null, case_when, first_set, has_text
+from catloom.functions.values import as_col, bind, blank_to_null, case_when, first_set, has_text
 
 Rules = Sequence[tuple[str, str]]
 
@@ -225,16 +225,22 @@ def title_matches(
     share: float = 0.5,
 ) -> Column:
     """A foreign brand in the title rejects it; the own brand or half of the name words accept it."""
-    title_n, name_n = match_text(title), match_text(name)
-    brand_n = F.coalesce(match_text(brand), F.lit(""))
-    foreign = F.exists(
-        F.array(*[F.lit(b) for b in brands]),
-        lambda b: F.contains(title_n, b) & (b != brand_n) & ~F.contains(name_n, b),
+    parts = F.struct(
+        match_text(title).alias("title"), match_text(name).alias("name"),
+        F.coalesce(match_text(brand), F.lit("")).alias("brand"),
     )
-    name_words = F.filter(F.split(name_n, " "), lambda w: F.length(w) > 1)
-    hits = F.size(F.filter(name_words, lambda w: F.contains(title_n, w)))
-    enough = (F.size(name_words) > 0) & (hits >= F.size(name_words) * share)
-    return has_text(title) & ~foreign & (((brand_n != "") & F.contains(title_n, brand_n)) | enough)
+
+    def decide(p: Column) -> Column:
+        foreign = F.exists(
+            F.array(*[F.lit(b) for b in brands]),
+            lambda b: F.contains(p["title"], b) & (b != p["brand"]) & ~F.contains(p["name"], b),
+        )
+        name_words = F.filter(F.split(p["name"], " "), lambda w: F.length(w) > 1)
+        hits = F.size(F.filter(name_words, lambda w: F.contains(p["title"], w)))
+        enough = (F.size(name_words) > 0) & (hits >= F.size(name_words) * share)
+        return ~foreign & (((p["brand"] != "") & F.contains(p["title"], p["brand"])) | enough)
+
+    return has_text(title) & bind(parts, decide)
 
 
 def _points(test: Column, points: int) -> Column:

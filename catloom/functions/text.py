@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from catloom.functions.values import as_col, blank_to_null, has_text
+from catloom.functions.values import as_col, bind, blank_to_null, has_text
 from catloom.vocabulary import (
     BRAND_SYNONYMS,
     IMAGE_EXTENSIONS,
@@ -139,10 +139,11 @@ def build_query(brand: Column | str, name: Column | str, min_length: int = 5) ->
 
 def ordered_distinct(values: Column, key=lambda x: x) -> Column:
     """Keep the first element of each key, in the original order (arrays of bounded length)."""
-    return F.filter(
-        values,
-        lambda x, i: F.array_position(F.transform(values, lambda y: key(y)), key(x)) == i + 1,
-    )
+
+    def firsts(state: Column) -> Column:
+        return F.filter(state["v"], lambda x, i: F.array_position(state["k"], state["k"][i]) == i + 1)
+
+    return bind(F.struct(values.alias("v"), F.transform(values, key).alias("k")), firsts)
 
 
 def query_variants(

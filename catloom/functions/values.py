@@ -46,3 +46,11 @@ def case_when(branches: list[tuple[Column, Column]], otherwise: Column | None =
     for test, value in branches[1:]:
         chain = chain.when(test, value)
     return chain if otherwise is None else chain.otherwise(otherwise)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is evaluated again for every element; a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,7 +14,7 @@ from catloom import vocabulary as V
 from catloom.functions.parse import clean_markup, first_int, price, year_range
 from catloom.functions.rules import type_from_markup
 from catloom.functions.text import ordered_distinct, split_list, squeeze, strip, upscale_url
-from catloom.functions.values import as_col, blank_to_null, case_when, first_set
+from catloom.functions.values import as_col, bind, blank_to_null, case_when, first_set
 from catloom.operators.joins import convert_currency
 from catloom.operators.stats import exact_median
 
@@ -38,9 +38,17 @@ def kv_block(text: Column | str, block_names: Sequence[str]) -> Column:
         strip(F.regexp_replace(F.regexp_replace(x, r"^[^=]*=", ""), r"\}\}\s*$", "")).alias("value"),
     )
     pairs = F.filter(F.transform(lines, entry), lambda e: (e["key"] != "") & ~F.startswith(e["key"], F.lit("{")))
-    # A repeated key keeps its last value.
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(_last_per_key(pairs, "key"))
+
+
+def _last_per_key(pairs: Column, key: str) -> Column:
+    """Of entries with equal keys only the last one (short arrays: one template, one table row)."""
+
+    def lasts(state: Column) -> Column:
+        size = F.size(state)
+        return F.filter(state, lambda e, i: ~F.exists(F.slice(state, i + 2, size), lambda o: o[key] == e[key]))
+
+    return bind(pairs, lasts)
 
 
 def coalesce_aliases(params: Column, keys: Sequence[str], cleaned: bool = True) -> Column:
@@ -144,7 +152,7 @@ def explode_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = grouped.withColumn("_h", heads).where((F.size("_values") > 0) & F.col("_h").isNotNull())
     n = F.least(F.size("_values"), F.size("_h"))
     pairs = F.arrays_zip(F.slice("_h", 1, n).alias("k"), F.slice("_values", 1, n).alias("v"))
-    unique = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == e["k"]))
+    unique = _last_per_key(pairs, "k")
     order = Window.partitionBy(key, "_table").orderBy("_row")
     return rows.select(
         key,

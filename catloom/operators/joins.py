@@ -123,13 +123,12 @@ def substring_join(
     survivors are checked. Any pattern table size works, and no pair without a shared piece is built.
     """
     size = F.length(text)
-    pieces = [
-        F.when(
-            size >= n,
-            F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substr(F.col(text), i, F.lit(n))),
-        )
-        for n in range(1, gram + 1)
-    ]
+
+    def pieces_of(width: int) -> Column:
+        starts = F.sequence(F.lit(1), size - width + 1)
+        return F.when(size >= width, F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(width))))
+
+    pieces = [pieces_of(width) for width in range(1, gram + 1)]
     empty = F.array().cast("array<string>")
     all_pieces = F.array_distinct(F.concat(*[F.coalesce(p, empty) for p in pieces]))
     probes = left.withColumn("_piece", F.explode(all_pieces))

@@ -113,7 +113,7 @@ def fuzzy_cluster(pairs: DataFrame, a: str = "id_a", b: str = "id_b", sequential
         still = open_edges.select(F.col("a").alias("node")).unionByName(open_edges.select(F.col("b").alias("node"))).distinct()
         found = found.unionByName(cut_lineage(freed.join(still, "node", "left_anti")))
         rest = cut_lineage(open_edges)
-    last = rest.groupBy(F.lit(0)).applyInPandas(_greedy_pass, "node long")
+    last = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy_pass, "node long")
     leaders = last if found is None else found.unionByName(last)
     leaders = cut_lineage(leaders.distinct())
     absorbed = graph.join(leaders.withColumnRenamed("node", "a"), "a")
