@@ -135,14 +135,14 @@ def _(spark, sf):
 @check("convert_currency", "listings fx", """
 WITH q AS (SELECT DISTINCT currency, ship_year FROM listings),
 n AS (SELECT q.currency, q.ship_year, arg_min(fx.rate, (abs(fx.year - q.ship_year), fx.year)) AS rate FROM q JOIN fx ON fx.currency = q.currency GROUP BY ALL)
-SELECT l.pos, CAST(CASE WHEN l.currency = 'USD' THEN round(CAST(l.price AS DECIMAL(38,18)), 2) ELSE round(CAST(l.price / n.rate AS DECIMAL(38,18)), 2) END AS DOUBLE) AS usd FROM listings l LEFT JOIN n ON n.currency = l.currency AND n.ship_year = l.ship_year""")
+SELECT l.pos, CAST(CASE WHEN l.currency = 'USD' THEN round(CAST(CAST(l.price AS VARCHAR) AS DECIMAL(38,18)), 2) ELSE round(CAST(CAST(l.price / n.rate AS VARCHAR) AS DECIMAL(38,18)), 2) END AS DOUBLE) AS usd FROM listings l LEFT JOIN n ON n.currency = l.currency AND n.ship_year = l.ship_year""")
 def _(spark, sf):
     l = view(spark, sf, "listings").withColumn("currency", F.lower("currency"))
     return joins.convert_currency(l, view(spark, sf, "fx"), "price", "currency", "ship_year").select("pos", "usd")
 
 
 @check("adjust_for_inflation", "listings cpi", """
-SELECT pos, CAST(round(CAST(price * ((SELECT arg_max(cpi, year) FROM cpi) / c.cpi) AS DECIMAL(38,18)), 2) AS DOUBLE) AS adjusted FROM listings l JOIN cpi c ON c.year = least(greatest(l.year, (SELECT min(year) FROM cpi)), (SELECT max(year) FROM cpi))""")
+SELECT pos, CAST(round(CAST(CAST(price * ((SELECT arg_max(cpi, year) FROM cpi) / c.cpi) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS adjusted FROM listings l JOIN cpi c ON c.year = least(greatest(l.year, (SELECT min(year) FROM cpi)), (SELECT max(year) FROM cpi))""")
 def _(spark, sf):
     cpi = view(spark, sf, "cpi")
     return joins.adjust_for_inflation(view(spark, sf, "listings"), cpi, "price", "year", 2024).select("pos", "adjusted")
