@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_checks", "rule_checks", "join_checks", "resolve_checks", "stats_checks")
+MODULES = ("text_checks", "rule_checks", "join_checks", "resolve_checks", "stats_checks", "extract_checks")
 
 
 def load_all() -> None:

@@ -27,9 +27,10 @@ def kv_block(text: Column | str, block_names: Sequence[str]) -> Column:
     The template may nest others three levels deep; the balanced body is one regular expression.
     """
     col = as_col(text)
-    inner = r"[^{}]|\{(?!\{)|\}(?!\})"
+    plain = r"[^{}]++|\{(?!\{)|\}(?!\})"
+    inner = plain
     for _ in range(3):
-        inner = rf"[^{{}}]|\{{(?!\{{)|\}}(?!\}})|\{{\{{(?:{inner})*+\}}\}}"
+        inner = plain + rf"|\{{\{{(?:{inner})*+\}}\}}"
     names = "|".join(re.escape(n) for n in block_names)
     body = F.regexp_extract(col, rf"(?i)\{{\{{\s*(?:{names})\s*\n?\|((?:{inner})*+)", 1)
     lines = F.filter(F.split(body, r"\n\s*\|"), lambda x: F.contains(x, F.lit("=")))
@@ -141,7 +142,7 @@ def explode_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     body = F.substr(line, F.lit(2))
     cells = F.when(is_head, F.split(body, "!!")).when(is_data, F.split(body, r"\|\|"))
     cells = F.transform(cells, lambda c: clean_markup(strip(cell(c))))
-    parsed = inside.withColumn("_cells", cells).where(F.col("_cells").isNotNull())
+    parsed = inside.where(is_head | is_data).withColumn("_cells", cells)
     grouped = parsed.groupBy(key, "_table", "_row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(~is_head, F.struct("_no", "_cells")))), lambda x: x["_cells"])).alias("_values"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(is_head, F.struct("_no", "_cells")))), lambda x: x["_cells"])).alias("_heads"),
@@ -287,7 +288,7 @@ def intro_images(
     """Image URLs before the first ``stop``: no interface images, enlarged, one per photo id."""
     intro = F.element_at(F.split(as_col(html), stop, 2), 1)
     urls = F.filter(F.regexp_extract_all(intro, F.lit(pattern), F.lit(1)), lambda u: ~u.rlike(skip))
-    larger = F.transform(urls, upscale_url)
+    larger = F.transform(urls, lambda u: upscale_url(u))
     return ordered_distinct(larger, lambda u: F.coalesce(blank_to_null(F.regexp_extract(u, identity, 1)), u))
 
 

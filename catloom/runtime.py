@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,10 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
 def fits_rows(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder that every executor can reach, next to the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/work-{uuid.uuid4()}"
