@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from catloom.checks.base import check, define, table, view
-from catloom.functions import rules
-from catloom.operators import extract, joins
+from catloom.functions.values import compute_once
+from catloom.operators import extract
 from catloom.runtime import work_folder
 from catloom.sources import files
 from catloom.streaming import resume, toggles
@@ -22,7 +22,7 @@ FROM {items}
 
 
 def _params(spark, sf):
-    return view(spark, sf, "articles").withColumn("params", extract.kv_block("wikitext", ["Infobox camera", "Infobox camera model"]))
+    return compute_once(view(spark, sf, "articles"), params=extract.kv_block("wikitext", ["Infobox camera", "Infobox camera model"]))
 
 
 @check("kv_block", "articles", """

@@ -89,7 +89,7 @@ def _(spark, sf):
 @check("robust_price", "listings", """
 SELECT item_id, CAST(round(CAST(CAST(median(price) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS price, count(*) AS n FROM listings WHERE currency = 'USD' AND price BETWEEN 5 AND 50000 GROUP BY item_id""")
 def _(spark, sf):
-    return stats.robust_price(view(spark, sf, "listings"), ["item_id"], "title", "query", "price", "currency", "pos")
+    return stats.robust_price(view(spark, sf, "listings"), ["item_id"], "title", "query", "price", "currency")
 
 
 @check("pricing_summary", "records", """

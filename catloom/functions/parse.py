@@ -137,10 +137,13 @@ def lead_sentences(
     The first sentence always counts; the next ones join only while every earlier one did.
     """
     flag = "(?i)" if ignore_case else ""
-    text = F.regexp_replace(as_col(c), flag + r"\s*\([^)]*(?:" + "|".join(asides) + r")[^)]*\)", "")
+    col = as_col(c)
+    aside = flag + r"\s*\([^)]*(?:" + "|".join(asides) + r")[^)]*\)"
+    text = F.when(F.contains(col, F.lit("(")), F.regexp_replace(col, aside, "")).otherwise(col)
     if drop_footnotes:
-        text = F.regexp_replace(text, r"\[\d+\]", "")
-    sentences = F.split(strip(text), r"(?<=[.!?])\s+")
+        text = F.when(F.contains(text, F.lit("[")), F.regexp_replace(text, r"\[\d+\]", "")).otherwise(text)
+    # The sentences in play plus the rest of the text, unsplit.
+    sentences = F.split(strip(text), r"(?<=[.!?])\s+", max_sentences + 1)
     state = F.struct(F.element_at(sentences, 1).alias("text"), F.lit(True).alias("open"))
 
     def extend(acc: Column, sentence: Column) -> Column:

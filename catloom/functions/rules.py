@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -34,12 +35,27 @@ def words(keywords: Sequence[str]) -> list[str]:
     return [r"\b" + re.escape(word) + r"\b" for word in keywords]
 
 
+def _plain(pattern: str) -> str | None:
+    """The literal a pattern stands for, if it is nothing more than one."""
+    text = re.sub(r"\\([^0-9A-Za-z])", r"\1", pattern)
+    bare = re.sub(r"\\[^0-9A-Za-z]", "", pattern)
+    return None if re.search(r"[\\^$.|?*+()\[\]{}]", bare) else text
+
+
 def matches_any(c: Column | str, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    return as_col(c).rlike(any_of(patterns, ignore_case))
+    """Whether one of the patterns occurs. Plain words use substring search, which is much faster
+    than a regular expression; what remains is one alternation."""
+    col = as_col(c)
+    words_only = [p for p in patterns if _plain(p) is not None] if ignore_case else []
+    others = [p for p in patterns if p not in words_only]
+    tests = [contains_any(F.lower(col), [_plain(p).lower() for p in words_only])] if words_only else []
+    if others:
+        tests.append(col.rlike(any_of(others, ignore_case)))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def contains_any(c: Column, fragments: Sequence[str]) -> Column:
-    return c.rlike("|".join(re.escape(fragment) for fragment in fragments))
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(fragment)) for fragment in fragments])
 
 
 def classify_first_match(c: Column | str, rules: Rules, default: Column | None = None) -> Column:
@@ -113,7 +129,12 @@ def is_non_retail(
 ) -> Column:
     text = F.concat(as_col(name), F.lit(" "), F.coalesce(as_col(description), F.lit("")))
     blocked = F.coalesce(F.lower(as_col(brand)).isin(list(brands)), F.lit(False))
-    return matches_any(text, words(keywords) + list(novelty)) | blocked
+    hit = matches_any(text, list(novelty)) if novelty else F.lit(False)
+    if keywords:
+        # Most texts contain none of the words even as a fragment.
+        inside = contains_any(F.lower(text), [k.lower() for k in keywords])
+        hit = hit | (inside & matches_any(text, words(keywords)))
+    return hit | blocked
 
 
 def classify_three_way(
@@ -214,7 +235,7 @@ def title_relevant(title: Column | str, query: Column | str, share: float = 0.5,
 
 def match_text(c: Column | str) -> Column:
     """Accents folded, lower case, only letters, digits and single blanks."""
-    return strip(squeeze(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9\s]", " ")))
+    return F.btrim(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9]+", " "))
 
 
 def title_matches(
@@ -231,10 +252,11 @@ def title_matches(
     )
 
     def decide(p: Column) -> Column:
-        foreign = F.exists(
+        named = F.exists(
             F.array(*[F.lit(b) for b in brands]),
             lambda b: F.contains(p["title"], b) & (b != p["brand"]) & ~F.contains(p["name"], b),
         )
+        foreign = F.when(contains_any(p["title"], brands), named).otherwise(F.lit(False))
         name_words = F.filter(F.split(p["name"], " "), lambda w: F.length(w) > 1)
         hits = F.size(F.filter(name_words, lambda w: F.contains(p["title"], w)))
         enough = (F.size(name_words) > 0) & (hits >= F.size(name_words) * share)

@@ -21,7 +21,7 @@ from catloom.vocabulary import (
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(" \t\n\r\x0b\f"))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -61,9 +61,13 @@ def _latin_folding() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _latin_folding()
 
 
+# Loose combining marks have no counterpart in the replacement, so translate deletes them.
+_MARKS = "".join(chr(code) for code in range(0x0300, 0x0370))
+
+
 def strip_accents(c: Column | str) -> Column:
-    """Latin letters lose their marks by one translate; loose combining marks are dropped."""
-    return F.regexp_replace(F.translate(as_col(c), _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+    """Latin letters lose their marks and loose combining marks vanish, in one translate."""
+    return F.translate(as_col(c), _ACCENTED + _MARKS, _PLAIN)
 
 
 @F.pandas_udf(T.StringType())

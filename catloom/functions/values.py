@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 
@@ -54,3 +54,14 @@ def bind(value: Column, body) -> Column:
     An expression used inside a lambda is evaluated again for every element; a lambda variable is not.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters and projections reuse.
+
+    Catalyst copies an expression into every filter it moves below the projection that defines it. A
+    generator is never copied, so a one-element array is exploded instead.
+    """
+    packed = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, packed).select(*kept, "_once.*")

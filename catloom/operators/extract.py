@@ -14,9 +14,8 @@ from catloom import vocabulary as V
 from catloom.functions.parse import clean_markup, first_int, price, year_range
 from catloom.functions.rules import type_from_markup
 from catloom.functions.text import ordered_distinct, split_list, squeeze, strip, upscale_url
-from catloom.functions.values import as_col, bind, blank_to_null, case_when, first_set
+from catloom.functions.values import as_col, bind, blank_to_null, case_when, compute_once, first_set
 from catloom.operators.joins import convert_currency
-from catloom.operators.stats import exact_median
 
 # --- Wiki templates --------------------------------------------------------------------------
 
@@ -70,111 +69,112 @@ ITEM_PARAMS = {
 }
 
 
+def _title_brand(title: str) -> Column:
+    words = F.split(strip(F.col(title)), r"\s+")
+    return F.when(F.size(words) >= 2, words[0])
+
+
 def item_from_params(df: DataFrame, title: str, params: str) -> DataFrame:
     """Typed item columns from a parameter map; the brand falls back to the first title word."""
-    p = F.col(params)
+    rows = compute_once(df, _p=F.col(params)).drop(params)
+    p = F.col("_p")
     get = lambda field: coalesce_aliases(p, ITEM_PARAMS[field])
-    title_words = F.split(strip(F.col(title)), r"\s+")
-    guessed = F.when(F.size(title_words) >= 2, title_words[0])
-    span = year_range(get("years"))
-    return df.select(
-        "*",
-        first_set(coalesce_aliases(p, ["name"]), F.col(title)).alias("name"),
-        F.coalesce(get("brand"), guessed).alias("brand"),
-        span["year_from"].alias("year_from"),
-        span["year_to"].alias("year_to"),
-        get("fmt").alias("fmt"),
-        type_from_markup(coalesce_aliases(p, ITEM_PARAMS["type"], cleaned=False)).alias("item_type"),
-        get("lens").alias("lens"),
-        get("shutter").alias("shutter"),
-        get("metering").alias("metering"),
-        first_int(coalesce_aliases(p, ["weight"]), "g").alias("weight_g"),
+    texts = compute_once(
+        rows, name=first_set(coalesce_aliases(p, ["name"]), F.col(title)), brand=F.coalesce(get("brand"), _title_brand(title)),
+        fmt=get("fmt"), lens=get("lens"), shutter=get("shutter"), metering=get("metering"), _years=get("years"),
+        _type=get("type"), _weight=coalesce_aliases(p, ["weight"]),
     ).where("brand is not null")
+    span = year_range("_years")
+    return texts.withColumns({
+        "year_from": span["year_from"], "year_to": span["year_to"],
+        "item_type": type_from_markup("_type"), "weight_g": first_int("_weight", "g"),
+    }).drop("_p", "_years", "_type", "_weight")
 
 
 def film_from_params(df: DataFrame, title: str, params: str) -> DataFrame:
-    p = F.col(params)
-    title_words = F.split(strip(F.col(title)), r"\s+")
-    span = year_range(coalesce_aliases(p, ["produced", "intro_year", "year"]))
-    return df.select(
-        "*",
-        first_set(coalesce_aliases(p, ["name"]), F.col(title)).alias("name"),
-        F.coalesce(coalesce_aliases(p, ITEM_PARAMS["brand"]), F.when(F.size(title_words) >= 2, title_words[0])).alias("brand"),
-        span["year_from"].alias("year_from"),
-        span["year_to"].alias("year_to"),
-        first_int(coalesce_aliases(p, ["iso", "speed"])).alias("iso_speed"),
-        coalesce_aliases(p, ["type", "film_type"]).alias("film_type"),
-        coalesce_aliases(p, ["grain"]).alias("grain"),
-        split_list(coalesce_aliases(p, ["available_formats", "formats"])).alias("available_formats"),
+    """Typed film columns from a parameter map."""
+    rows = compute_once(df, _p=F.col(params)).drop(params)
+    get = lambda *keys: coalesce_aliases(F.col("_p"), keys)
+    texts = compute_once(
+        rows, name=first_set(get("name"), F.col(title)), brand=F.coalesce(get(*ITEM_PARAMS["brand"]), _title_brand(title)),
+        film_type=get("type", "film_type"), grain=get("grain"), _years=get("produced", "intro_year", "year"),
+        _iso=get("iso", "speed"), _formats=get("available_formats", "formats"),
     ).where("brand is not null")
+    span = year_range("_years")
+    return texts.withColumns({
+        "year_from": span["year_from"], "year_to": span["year_to"],
+        "iso_speed": first_int("_iso"), "available_formats": split_list("_formats"),
+    }).drop("_p", "_years", "_iso", "_formats")
 
 
 # --- Wiki tables -----------------------------------------------------------------------------
 
 
+TABLE_PATTERN = r"(?s)\{\|.*?\|\}"
+
+
+def _last_heading(piece: Column) -> Column:
+    """Text of the last section heading in a piece of wiki text."""
+    found = F.regexp_extract_all(piece, F.lit(r"(?m)^[ \t]*={2,4}\s*(\[\[[^\]|]+(?:\|[^\]]+)?\]\]|[^=\n]+?)\s*={2,4}"), F.lit(1))
+    title = F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"^\[\[([^\]|]+).*$", "$1")
+    return clean_markup(title)
+
+
 def explode_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, table_no, row_no, section, cells): one row per table row, cells keyed by header.
 
-    Lines become rows; running windows per page carry the table number, the row number, the header
-    and the enclosing heading. A page is the unit of work, never more than one page per group.
+    Everything is cut out of the page text in place (tables, then rows, then cells), without a shuffle.
     """
-    lines = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("_no", "_raw"))
-    lines = lines.withColumn("_line", strip("_raw"))
-    page = Window.partitionBy(key).orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.col("_line")
-    opens, closes = F.startswith(line, F.lit("{|")), F.startswith(line, F.lit("|}"))
-    linked = F.regexp_extract(line, r"^={2,4}\s*\[\[([^\]|]+)(?:\|[^\]]+)?\]\]\s*={2,4}", 1)
-    heading = F.regexp_extract(line, r"^={2,4}\s*([^=]+?)\s*={2,4}", 1)
-    section = F.coalesce(blank_to_null(linked), blank_to_null(heading))
-    marked = (
-        lines.withColumn("_table", F.sum(F.when(opens, 1).otherwise(0)).over(page))
-        .withColumn("_closed", F.sum(F.when(closes, 1).otherwise(0)).over(page))
-        .withColumn("_section", F.last(section, ignorenulls=True).over(page))
-    )
-    inside = marked.where((F.col("_table") > F.col("_closed")) & ~opens)
-    table = Window.partitionBy(key, "_table").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_row", F.sum(F.when(F.startswith(line, F.lit("|-")), 1).otherwise(0)).over(table))
-    cell = lambda c: F.when(
-        F.contains(c, F.lit("|")) & ~F.startswith(strip(c), F.lit("[[")), F.regexp_extract(c, r"([^|]*)$", 1)
-    ).otherwise(c)
-    is_head = F.startswith(line, F.lit("!"))
-    is_data = F.startswith(line, F.lit("|")) & ~F.startswith(line, F.lit("|-"))
-    body = F.substr(line, F.lit(2))
-    cells = F.when(is_head, F.split(body, "!!")).when(is_data, F.split(body, r"\|\|"))
-    cells = F.transform(cells, lambda c: clean_markup(strip(cell(c))))
-    parsed = inside.where(is_head | is_data).withColumn("_cells", cells)
-    grouped = parsed.groupBy(key, "_table", "_row").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(~is_head, F.struct("_no", "_cells")))), lambda x: x["_cells"])).alias("_values"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(is_head, F.struct("_no", "_cells")))), lambda x: x["_cells"])).alias("_heads"),
-        F.min("_section").alias("_section"),
-    )
-    whole = Window.partitionBy(key, "_table").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    heads = F.last(F.when(F.size("_heads") > 0, F.col("_heads")), ignorenulls=True).over(whole)
-    rows = grouped.withColumn("_h", heads).where((F.size("_values") > 0) & F.col("_h").isNotNull())
-    n = F.least(F.size("_values"), F.size("_h"))
-    pairs = F.arrays_zip(F.slice("_h", 1, n).alias("k"), F.slice("_values", 1, n).alias("v"))
-    unique = _last_per_key(pairs, "k")
-    order = Window.partitionBy(key, "_table").orderBy("_row")
-    return rows.select(
-        key,
-        F.col("_table").alias("table_no"),
-        F.row_number().over(order).alias("row_no"),
-        clean_markup("_section").alias("section"),
-        F.map_from_entries(F.transform(unique, lambda e: F.struct(e["k"], e["v"]))).alias("cells"),
+    col = F.col(text)
+    pages = compute_once(
+        df.select(key, text),
+        _tables=F.regexp_extract_all(col, F.lit("(" + TABLE_PATTERN + ")")),
+        _headings=F.transform(F.split(col, TABLE_PATTERN), lambda piece: _last_heading(piece)),
     )
+    tables = pages.select(key, "_headings", F.posexplode("_tables").alias("_t", "_table"))
+
+    def cell(c: Column) -> Column:
+        plain = ~F.contains(c, F.lit("|")) | F.startswith(F.ltrim(c), F.lit("[["))
+        return clean_markup(F.when(plain, c).otherwise(F.substring_index(c, "|", -1)))
+
+    def cells(lines: Column, mark: str) -> Column:
+        return F.flatten(F.transform(lines, lambda x: F.transform(F.split(F.substr(x, F.lit(2)), mark), cell)))
+
+    def is_data(x: Column) -> Column:
+        return F.startswith(x, F.lit("|")) & ~F.startswith(x, F.lit("|}"))
+
+    def row_values(row: Column) -> Column:
+        # The first line holds the table mark or the attributes of the row.
+        lines = F.transform(F.split(row, "\n"), lambda x: strip(x))
+        return cells(F.filter(lines, lambda x, i: (i > 0) & is_data(x)), r"\|\|")
+
+    def as_map(heads: Column, values: Column) -> Column:
+        n = F.least(F.size(values), F.size(heads))
+        pairs = F.transform(F.slice(values, 1, n), lambda v, i: F.struct(heads[i].alias("k"), v.alias("v")))
+        return F.map_from_entries(_last_per_key(pairs, "k"))
+
+    lines = F.transform(F.split("_table", "\n"), lambda x: strip(x))
+    known = F.array_compact(F.slice("_headings", F.lit(1), F.col("_t") + 1))
+    rows = compute_once(
+        tables.select(key, "_t", "_table", "_headings"),
+        section=F.try_element_at(known, F.lit(-1)),
+        _heads=cells(F.filter(lines, lambda x: F.startswith(x, F.lit("!"))), "!!"),
+        _values=F.filter(F.transform(F.split("_table", r"\n\s*\|-"), row_values), lambda v: F.size(v) > 0),
+    ).where(F.size("_heads") > 0)
+    rows = rows.select(key, (F.col("_t") + 1).alias("table_no"), "section", "_heads", F.posexplode("_values").alias("_r", "_v"))
+    return rows.select(key, "table_no", (F.col("_r") + 1).alias("row_no"), "section", as_map(F.col("_heads"), F.col("_v")).alias("cells"))
 
 
 def films_from_tables(rows: DataFrame) -> DataFrame:
     """Film rows of list pages; the brand is a column, else the section, else the first name word."""
-    cells = F.col("cells")
-    name = coalesce_aliases(cells, ["Film", "Name", "Product"])
-    brand = first_set(coalesce_aliases(cells, ["Manufacturer", "Company", "Maker"]), "section")
-    name_words = F.split("name", r"\s+")
-    named = rows.withColumn("name", name).where(F.length("name") >= 2)
-    guessed = F.when(F.size(name_words) >= 2, name_words[0])
-    return named.withColumn("brand", F.coalesce(brand, guessed)).withColumn(
-        "iso_speed", first_int(coalesce_aliases(cells, ["ISO", "Speed", "ISO speed"]))
-    ).where("brand is not null")
+    rows = compute_once(rows, cells=F.col("cells"))
+    get = lambda *keys: coalesce_aliases(F.col("cells"), keys)
+    named = compute_once(
+        rows, name=get("Film", "Name", "Product"), _maker=get("Manufacturer", "Company", "Maker"), _iso=get("ISO", "Speed", "ISO speed")
+    ).where(F.length("name") >= 2)
+    words = F.split("name", r"\s+")
+    brand = F.coalesce(first_set("_maker", "section"), F.when(F.size(words) >= 2, words[0]))
+    return named.withColumns({"brand": brand, "iso_speed": first_int("_iso")}).where("brand is not null").drop("_maker", "_iso")
 
 
 # --- HTML ------------------------------------------------------------------------------------
@@ -452,7 +452,3 @@ def pick_best_candidate(df: DataFrame, key: str, score: Column, value: str, pos:
         scored = scored.where(F.col("_score") >= min_score)
     rank = F.struct(F.col("_score").alias("s"), (-F.col(pos)).alias("p"))
     return scored.groupBy(key).agg(F.max_by(F.struct(F.col(value), F.col("_score").alias("score")), rank).alias("_w")).select(key, "_w.*")
-
-
-def sold_price_summary(cards: DataFrame, by: str, price_column: str, tie: str) -> DataFrame:
-    return exact_median(cards, [by], price_column, tie, "price")

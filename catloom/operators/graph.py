@@ -11,8 +11,9 @@ def walk_tree(edges: DataFrame, roots: DataFrame, max_depth: int, parent: str =
     """(node, depth) reachable from the roots in at most ``max_depth`` steps, at least depth, cycles safe.
 
     Breadth first: each level is the frontier joined with the edges, minus what was seen before.
-    Levels are checkpointed, so the plan does not grow with the depth.
+    Edges and levels are checkpointed: edges are derived once, and the plan does not grow with the depth.
     """
+    edges = cut_lineage(edges.select(parent, child))
     seen = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):

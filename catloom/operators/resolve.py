@@ -43,7 +43,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = cut_lineage(e)
-    while True:
+    # Rounds end when the edge set no longer changes, told by its size and a sum over its rows.
+    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(e)
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -52,10 +55,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         star = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        nxt = cut_lineage(star.distinct())
-        if nxt.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(nxt, ["u", "v"], "left_anti").isEmpty():
+        e = cut_lineage(star.distinct())
+        after = state(e)
+        if after == before:
             break
-        e = nxt
+        before = after
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)
@@ -160,16 +164,16 @@ def union_values(df: DataFrame, cluster: str, seq: str, array: str, identity: Se
     """
     rows = df.select(F.col(cluster), F.col(seq).alias("_seq"), F.posexplode(array).alias("_pos", "element"))
     keys = [F.col("element")[field].alias("_k_" + field) for field in identity]
-    inside = rows.groupBy(cluster, *keys, "_seq").agg(
-        F.min("_pos").alias("_pos"), F.min_by("element", "_pos").alias("_first"), F.max_by("element", "_pos").alias("_last")
-    )
     names = ["_k_" + field for field in identity]
-    best = inside.groupBy(cluster, *names).agg(F.min_by(F.struct("_seq", "_pos", "_first", "_last"), "_seq").alias("_w"))
+    first = F.struct("_seq", "_pos", F.col("element").alias("_first"))
+    # The last value inside the first record that has the element.
+    last = F.max_by("element", F.struct((-F.col("_seq")).alias("s"), F.col("_pos")))
+    best = rows.groupBy(cluster, *keys).agg(F.min_by(first, F.struct("_seq", "_pos")).alias("_w"), last.alias("_last"))
     value = F.col("_w._first")
     if last_in_base:
         base = df.groupBy(F.col(cluster).alias("_c")).agg(F.min(seq).alias("_base"))
         best = best.join(base, F.col(cluster) == F.col("_c"))
-        value = F.when(F.col("_w._seq") == F.col("_base"), F.col("_w._last")).otherwise(value)
+        value = F.when(F.col("_w._seq") == F.col("_base"), F.col("_last")).otherwise(value)
     return best.select(cluster, F.col("_w._seq").alias("first_seq"), F.col("_w._pos").alias("first_pos"), value.alias("element"))
 
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from catloom.functions.values import bind
+
 
 @F.pandas_udf(T.IntegerType())
 def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -30,6 +32,21 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.bround(F.lit(200.0) * common_subsequence(a, b) / (F.length(a) + F.length(b)), 0).cast("int")
 
 
+def letter_signature(c: Column) -> Column:
+    """64-bit set of the (letter, n-th occurrence) pairs of a text.
+
+    A letter occurrence missing on the other side costs one edit, so the number of bits set here and
+    not there is a lower bound of the edits (colliding bits can only lower it further).
+    """
+
+    def fold(letters: Column) -> Column:
+        marks = F.transform(letters, lambda x, i: F.pmod(F.xxhash64(x, i - F.array_position(letters, x)), F.lit(64)))
+        bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m.cast("int"))
+        return F.aggregate(marks, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(bit(m)))
+
+    return bind(F.array_sort(F.split(c, "")), fold)
+
+
 def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) -> DataFrame:
     """Pairs of distinct texts in a block with a ratio of at least ``lo``: (block, id_a, id_b, ratio).
 
@@ -40,11 +57,11 @@ def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) ->
     untouched, so it occurs in the longer text, shifted by at most the number of edits left of it
     (and, counted from the end, right of it). Joining on (block, lengths, segment number, segment
     text) therefore loses nothing and never pairs texts that share no segment. Candidates are
-    screened with the built-in edit distance, and only the survivors reach Python.
+    screened by their letters and then with the built-in edit distance; only survivors reach Python.
     """
     share = 1 - (lo - 0.5) / 100
     texts = df.groupBy(block, text).agg(F.min(key).alias("_id")).where(F.length(text) > 0)
-    texts = texts.select(F.col(block).alias("_block"), F.col(text).alias("_text"), "_id", F.length(text).alias("_len"))
+    texts = texts.select(F.col(block).alias("_block"), F.col(text).alias("_text"), "_id", F.length(text).alias("_len"), letter_signature(F.col(text)).alias("_sig"))
     size = F.col("_len")
 
     def limit(la: Column, lb: Column) -> Column:
@@ -65,7 +82,7 @@ def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) ->
     stop = segment_start(size, F.col("_t"), F.col("_seg") + 1)
     filed = filed.select(
         "_block", F.col("_len").alias("_la"), "_lb", "_seg", F.substr("_text", start, stop - start).alias("_piece"),
-        F.col("_text").alias("_a"), F.col("_id").alias("_ia"),
+        F.col("_text").alias("_a"), F.col("_id").alias("_ia"), F.col("_sig").alias("_sa"),
     )
 
     probes = (
@@ -85,12 +102,13 @@ def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) ->
     )
     probes = probes.select(
         "_block", "_la", F.col("_len").alias("_lb"), "_seg", F.explode(pieces).alias("_piece"),
-        F.col("_text").alias("_b"), F.col("_id").alias("_ib"),
+        F.col("_text").alias("_b"), F.col("_id").alias("_ib"), F.col("_sig").alias("_sb"),
     )
 
-    shared = filed.join(probes, ["_block", "_la", "_lb", "_seg", "_piece"])
-    shared = shared.where((F.col("_la") < F.col("_lb")) | (F.col("_ia") < F.col("_ib"))).where(F.col("_ia") != F.col("_ib"))
     bound = F.lit(share) * (F.col("_la") + F.col("_lb")) + 1e-6
+    only = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    ordered = ((F.col("_la") < F.col("_lb")) | (F.col("_ia") < F.col("_ib"))) & (F.col("_ia") != F.col("_ib"))
+    shared = filed.join(probes, ["_block", "_la", "_lb", "_seg", "_piece"]).where(ordered & (only("_sa", "_sb") + only("_sb", "_sa") <= bound))
     near = shared.where(F.levenshtein("_a", "_b") <= bound)
     pairs = near.select("_block", "_a", "_b", "_ia", "_ib").distinct()
     scored = pairs.withColumn("ratio", indel_ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= lo)

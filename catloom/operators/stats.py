@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catloom.functions.rules import decade, decade_label, title_relevant
-from catloom.functions.text import safe_path  # noqa: F401
 from catloom.functions.values import as_col, first_set, has_amount, has_text
 from catloom.operators.joins import maybe_broadcast
-from catloom.operators.rank import rank_rows
 
 
 def _rows(df: DataFrame, columns: Sequence[str], label: str, value: str) -> DataFrame:
@@ -88,21 +86,33 @@ def group_by_decade(df: DataFrame, by: Sequence[str], year: str) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "median") -> DataFrame:
-    """Exact median per key by position, so a hot key needs no buffer of all its values."""
-    ranked = rank_rows(df.where(F.col(value).isNotNull()), [F.col(value), F.col(tie)], by, "_rank")
-    sizes = ranked.groupBy(*[F.col(b).alias("_" + b) for b in by]).agg(F.count("*").alias("n"))
-    joined = ranked.join(sizes, [ranked[b] == sizes["_" + b] for b in by])
-    middle = F.col("_rank").isin(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
-    return joined.where(middle).groupBy(*by).agg(F.avg(value).alias(name), F.max("n").alias("n"))
+def exact_median(df: DataFrame, by: Sequence[str], value: str, low: float, high: float, name: str = "median", bins: int = 10_000) -> DataFrame:
+    """Exact median per key of values in [low, high], without gathering a key's values anywhere.
 
-
-def robust_price(df: DataFrame, by: Sequence[str], title: str, query: str, price: str, currency: str, tie: str, low: float = 5, high: float = 50_000, base: str = "USD") -> DataFrame:
+    Equal values are counted first. Counts per key and bin (at most ``bins`` per key) locate the bin of
+    the middle positions, and only that bin's values are ordered.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).between(low, high)).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_bin", F.least(F.floor((F.col("_v") - low) * (bins / (high - low))), F.lit(bins - 1)))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    binned = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bn"))
+    binned = binned.withColumn("_cum", F.sum("_bn").over(upto)).withColumn("n", F.sum("_bn").over(whole))
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    middle = binned.withColumn("_before", F.col("_cum") - F.col("_bn")).where((F.col("_cum") >= first) & (F.col("_before") < second))
+    inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = counts.join(middle.select(*by, "_bin", "_before", "n"), [*by, "_bin"])
+    values = values.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    holds = lambda p: ((F.col("_end") >= p) & (F.col("_end") - F.col("_n") < p)).cast("int")
+    weighted = values.withColumn("_w", holds(first) + holds(second)).where("_w > 0")
+    return weighted.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_w")) / 2).alias(name), F.max("n").alias("n"))
+
+
+def robust_price(df: DataFrame, by: Sequence[str], title: str, query: str, price: str, currency: str, low: float = 5, high: float = 50_000, base: str = "USD") -> DataFrame:
     """Median price per key over relevant listings in the base currency and a plausible range."""
-    usable = df.where(
-        (F.col(currency) == base) & F.col(price).between(low, high) & title_relevant(title, query)
-    )
-    medians = exact_median(usable, by, price, tie, "_median")
+    usable = df.where((F.col(currency) == base) & title_relevant(title, query))
+    medians = exact_median(usable, by, price, low, high, "_median")
     return medians.select(*by, F.round("_median", 2).alias("price"), "n")
 
 
