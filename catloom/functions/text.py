@@ -67,7 +67,9 @@ _MARKS = "".join(chr(code) for code in range(0x0300, 0x0370))
 
 def strip_accents(c: Column | str) -> Column:
     """Latin letters lose their marks and loose combining marks vanish, in one translate."""
-    return F.translate(as_col(c), _ACCENTED + _MARKS, _PLAIN)
+    col = as_col(c)
+    plain = F.octet_length(col) == F.length(col)
+    return F.when(plain, col).otherwise(F.translate(col, _ACCENTED + _MARKS, _PLAIN))
 
 
 @F.pandas_udf(T.StringType())

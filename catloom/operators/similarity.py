@@ -10,8 +10,8 @@ from catloom.functions.values import bind
 
 
 @F.pandas_udf(T.IntegerType())
-def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, one machine word step per character."""
+def _common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence, one bit-parallel step per character."""
 
     def lcs(a: str, b: str) -> int:
         masks: dict[str, int] = {}
@@ -27,6 +27,10 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([lcs(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
+# Declared non-deterministic so that no filter on the result makes Spark compute it twice.
+common_subsequence = _common_subsequence.asNondeterministic()
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """Similarity 0..100: twice the common subsequence over both lengths, rounded half to even."""
     return F.bround(F.lit(200.0) * common_subsequence(a, b) / (F.length(a) + F.length(b)), 0).cast("int")
@@ -58,10 +62,14 @@ def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) ->
     (and, counted from the end, right of it). Joining on (block, lengths, segment number, segment
     text) therefore loses nothing and never pairs texts that share no segment. Candidates are
     screened by their letters and then with the built-in edit distance; only survivors reach Python.
+    Both sides grow with the data, so the join is a sort-merge join, which AQE splits at hot pieces.
     """
     share = 1 - (lo - 0.5) / 100
     texts = df.groupBy(block, text).agg(F.min(key).alias("_id")).where(F.length(text) > 0)
     texts = texts.select(F.col(block).alias("_block"), F.col(text).alias("_text"), "_id", F.length(text).alias("_len"), letter_signature(F.col(text)).alias("_sig"))
+    # The pieces outweigh the texts many times over, so the texts are spread before they are cut up.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(tasks, "_block", "_text")
     size = F.col("_len")
 
     def limit(la: Column, lb: Column) -> Column:
@@ -108,9 +116,9 @@ def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) ->
     bound = F.lit(share) * (F.col("_la") + F.col("_lb")) + 1e-6
     only = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
     ordered = ((F.col("_la") < F.col("_lb")) | (F.col("_ia") < F.col("_ib"))) & (F.col("_ia") != F.col("_ib"))
-    shared = filed.join(probes, ["_block", "_la", "_lb", "_seg", "_piece"]).where(ordered & (only("_sa", "_sb") + only("_sb", "_sa") <= bound))
+    shared = filed.join(probes.hint("merge"), ["_block", "_la", "_lb", "_seg", "_piece"]).where(ordered & (only("_sa", "_sb") + only("_sb", "_sa") <= bound))
     near = shared.where(F.levenshtein("_a", "_b") <= bound)
-    pairs = near.select("_block", "_a", "_b", "_ia", "_ib").distinct()
+    pairs = near.select("_block", "_a", "_b", "_ia", "_ib").repartition(tasks, "_ia", "_ib").dropDuplicates(["_ia", "_ib"])
     scored = pairs.withColumn("ratio", indel_ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= lo)
     swap = F.col("_ia") > F.col("_ib")
     return scored.select(
