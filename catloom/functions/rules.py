@@ -55,7 +55,12 @@ def matches_any(c: Column | str, patterns: Sequence[str], ignore_case: bool = Tr
 
 
 def contains_any(c: Column, fragments: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(fragment)) for fragment in fragments])
+    """Substring tests; a long list is evaluated on a bound value, which keeps generated code small."""
+
+    def test(value: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(value, F.lit(fragment)) for fragment in fragments])
+
+    return test(c) if len(fragments) <= 8 else bind(c, test)
 
 
 def classify_first_match(c: Column | str, rules: Rules, default: Column | None = None) -> Column:

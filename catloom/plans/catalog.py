@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catloom.functions.rules import infer_format, is_excluded_tech, is_non_retail, normalize_format
 from catloom.functions.text import normalize_name
+from catloom.functions.values import compute_once
 from catloom.operators import resolve
 from catloom.operators.joins import fill_country, fill_launch_date, localized_name, make_key, normalize_alias
 from catloom.operators.similarity import fuzzy_pairs
@@ -59,10 +60,12 @@ def finish_items(merged: DataFrame, prefixes: DataFrame, countries: DataFrame) -
     named = localized_name(merged.withColumn("id", resolve.cluster_id("key")), "name", "manufacturer_normalized", prefixes, "cluster")
     dated = named.withColumn("launch_date", fill_launch_date("launch_date", "year_introduced"))
     placed = fill_country(dated, "manufacturer_normalized", "manufacturer_country", countries)
+    # Names and countries are settled here, so the rules below read plain columns.
+    settled = compute_once(placed, name=F.col("name"), manufacturer_country=F.col("manufacturer_country"))
+    retail = settled.where(~is_non_retail("name", "description", "manufacturer_normalized"))
+    kept = retail.where(~is_excluded_tech("name", "camera_type", "manufacturer_normalized"))
     fmt = F.coalesce(normalize_format("film_format"), infer_format("name", "camera_type", "manufacturer_normalized"))
-    ready = placed.withColumn("film_format", fmt)
-    retail = ready.where(~is_non_retail("name", "description", "manufacturer_normalized"))
-    return retail.where(~is_excluded_tech("name", "camera_type", "manufacturer_normalized"))
+    return kept.withColumn("film_format", fmt)
 
 
 def merge_items(records: DataFrame, aliases: DataFrame, prefixes: DataFrame, countries: DataFrame) -> tuple[DataFrame, Resolved]:
