@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catloom import vocabulary as V
 from catloom.functions.text import name_from_slug
-from catloom.functions.values import as_col
+from catloom.functions.values import compute_once
 from catloom.operators.rank import rank_rows
 from catloom.operators.resolve import cluster_id
 
@@ -115,16 +115,16 @@ def split_misplaced(images: DataFrame, prefixes: DataFrame, url: str, brand: str
     The file is ``<brand>-<model>.jpg``; ``prefixes`` (brand, prefix, ord) lists the accepted brand
     spellings, tried in order. Files of no known spelling are left out.
     """
-    file = F.regexp_replace(F.regexp_extract(F.col(url), r"([^/]+)$", 1), r"\.jpg$", "")
-    named = images.withColumn("_file", file)
+    file = F.regexp_replace(F.substring_index(F.col(url), "/", -1), r"\.jpg$", "")
     spellings = prefixes.select(F.col("brand").alias("_b"), F.concat("prefix", F.lit("-")).alias("_p"), F.col("ord").alias("_o"))
+    # A brand has a handful of spellings; the lists are bounded by the dictionary.
     lists = spellings.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_o", "_p"))).alias("_list"))
-    joined = named.join(lists, F.col(brand) == F.col("_b"))
-    hits = F.filter("_list", lambda x: F.startswith(F.col("_file"), x["_p"]))
-    head = F.try_element_at(hits, F.lit(1))["_p"]
-    model = F.substr(F.col("_file"), F.length(head) + 1)
-    status = F.when(model == F.col(own_model), "correct").otherwise("misplaced")
-    return joined.where(F.size(hits) > 0).withColumn("model", model).withColumn("status", status).drop("_file", "_b", "_list")
+    joined = images.withColumn("_file", file).join(lists, F.col(brand) == F.col("_b"))
+    hit = F.try_element_at(F.filter("_list", lambda x: F.startswith(F.col("_file"), x["_p"])), F.lit(1))["_p"]
+    known = compute_once(joined, _prefix=hit).where("_prefix is not null")
+    model = F.substr(F.col("_file"), F.length("_prefix") + 1)
+    named = known.withColumn("model", model).withColumn("status", F.when(F.col("model") == F.col(own_model), "correct").otherwise("misplaced"))
+    return named.drop("_file", "_b", "_list", "_prefix")
 
 
 def relocate_or_create(misplaced: DataFrame, catalog: DataFrame, brand: str, model: str, url: str, item_id: str, item_name: str) -> DataFrame:

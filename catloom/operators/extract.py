@@ -362,11 +362,12 @@ def html_cards(df: DataFrame, key: str, html: str) -> DataFrame:
     chunks = F.slice(F.split(F.col(html), r'(?=<li[^>]*class="[^"]*s-card)'), 2, 1_000_000)
     rows = df.select(F.col(key), F.posexplode(chunks).alias("pos", "_card"))
     card = F.col("_card")
+    rows = rows.select(F.col(key), "pos", "_card")
     title = visible_text(F.regexp_extract(card, r'(?s)<div[^>]*class="[^"]*s-card__title[^"]*"[^>]*>(.*?)</div>', 1))
     span = r'(?s)<span[^>]*class="([^"]*s-card__price[^"]*)"[^>]*>(.*?)</span>'
-    style, text = F.regexp_extract(card, span, 1), visible_text(F.regexp_extract(card, span, 2))
-    sold = F.contains(style, F.lit("bold")) & ~F.contains(style, F.lit("strikethrough"))
-    return rows.select(key, "pos", title.alias("title"), F.when(sold, price(text)).alias("price")).where("title != ''")
+    parts = compute_once(rows, title=title, _style=F.regexp_extract(card, span, 1), _text=visible_text(F.regexp_extract(card, span, 2)))
+    sold = F.contains("_style", F.lit("bold")) & ~F.contains("_style", F.lit("strikethrough"))
+    return parts.where("title != ''").select(key, "pos", "title", F.when(sold, price("_text")).alias("price"))
 
 
 MEDIA_SCHEMA = "array<struct<type:string,content:string,thumbnail:string>>"
@@ -374,14 +375,15 @@ MEDIA_SCHEMA = "array<struct<type:string,content:string,thumbnail:string>>"
 
 def nested_media(df: DataFrame, key: str, answer: str) -> DataFrame:
     """First usable image URL per API row; the thumbnail where the content is missing."""
-    media = F.from_json(F.col(answer), MEDIA_SCHEMA)
+    df = compute_once(df.select(key, answer), _media=F.from_json(F.col(answer), MEDIA_SCHEMA))
+    media = F.col("_media")
     urls = F.transform(
         F.filter(media, lambda m: F.contains(F.lower(m["type"]), F.lit("image"))),
         lambda m: first_set(m["content"], m["thumbnail"]),
     )
     url = F.try_element_at(F.array_compact(urls), F.lit(1))
     absolute = F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).otherwise(url)
-    return df.select(F.col(key), absolute.alias("url")).where("url is not null")
+    return compute_once(df, url=absolute).select(key, "url").where("url is not null")
 
 
 # --- Model answers ---------------------------------------------------------------------------
@@ -391,17 +393,16 @@ def parse_price_answers(df: DataFrame, key: str, answer: str, fx: DataFrame, cap
     """(key, price, currency, year, usd) of valid price objects inside answer texts."""
     found = F.regexp_extract(F.col(answer), r'(\{[^{}]*"price"[^{}]*\})', 1)
     raw = F.from_json(blank_to_null(found), "struct<price:string,currency:string,year:string>")
-    typed = df.where(~F.contains(F.upper(answer), F.lit("UNKNOWN"))).select(
-        F.col(key), found.alias("_json"), raw.alias("_raw")
-    )
+    known = df.where(~F.contains(F.upper(answer), F.lit("UNKNOWN"))).select(key, answer)
+    typed = compute_once(known, _json=found, _raw=raw)
     # A quoted number is not a number: the digits must follow the key directly.
     unquoted = lambda field: F.col("_json").rlike(rf'"{field}"\s*:\s*-?\d')
-    rows = typed.select(
-        key,
-        F.when(unquoted("price"), F.col("_raw.price").try_cast("double")).alias("price"),
-        F.upper(F.coalesce("_raw.currency", F.lit("USD"))).alias("currency"),
-        F.when(unquoted("year"), F.col("_raw.year").try_cast("int")).alias("year"),
-    ).where((F.col("price") > 0) & F.col("year").between(1900, 2025) & (F.length("currency") == 3))
+    rows = compute_once(
+        typed.select(key, "_json", "_raw"),
+        price=F.when(unquoted("price"), F.col("_raw.price").try_cast("double")),
+        currency=F.upper(F.coalesce("_raw.currency", F.lit("USD"))),
+        year=F.when(unquoted("year"), F.col("_raw.year").try_cast("int")),
+    ).drop("_json", "_raw").where((F.col("price") > 0) & F.col("year").between(1900, 2025) & (F.length("currency") == 3))
     return convert_currency(rows, fx, "price", "currency", "year", "usd").where(F.col("usd") <= cap)
 
 
