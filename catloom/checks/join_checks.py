@@ -219,9 +219,9 @@ def _(spark, sf):
 @check("rebuild_paths", "images", """
 SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN p IS NOT DISTINCT FROM local_path THEN 'unchanged' WHEN p IS NULL THEN 'cleared' ELSE 'set' END AS status FROM (
-    SELECT local_path, CASE WHEN source = 'flickr_scrape' AND local_path IS NOT NULL THEN local_path WHEN width > 25 THEN 'p/' || CAST(item_id AS VARCHAR) || CAST(pos AS VARCHAR) || '.png' END AS p FROM images)) GROUP BY status""")
+    SELECT local_path, CASE WHEN source = 'flickr_scrape' AND local_path IS NOT NULL THEN local_path WHEN width > 25 THEN 'p/' || CAST(item_id AS VARCHAR) || '_' || CAST(pos AS VARCHAR) || '.png' END AS p FROM images)) GROUP BY status""")
 def _(spark, sf):
-    i = view(spark, sf, "images").withColumn("png", F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.col("pos").cast("string"), F.lit(".png"))).withColumn("jpg", F.col("local_path"))
+    i = view(spark, sf, "images").withColumn("png", F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("_"), F.col("pos").cast("string"), F.lit(".png"))).withColumn("jpg", F.col("local_path"))
     files = view(spark, sf, "inventory").union(i.where("width > 25").select("png"))
     return joins.rebuild_paths(i, files, "local_path", ["jpg", "png"]).groupBy("status").agg(F.count("*").alias("n"))
 
