@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catloom.checks.base import check, define, table, view
-from catloom.operators import dedup, joins, similarity
+from catloom.operators import joins, similarity
 
 # Series whose points follow from the order years, with a gap so that ties occur.
 define("cpi", "orders", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catloom.checks.base import check, define, table, view
-from catloom.operators import dedup, joins, patch, rank, resolve, similarity
+from catloom.operators import dedup, rank, resolve, similarity
 from catloom.plans import catalog
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catloom.checks.base import check, define, table, view
 from catloom.functions import rules
 from catloom.functions.values import has_amount, has_text
-from catloom.operators import dedup, graph, joins, patch, rank, stats
+from catloom.operators import graph, joins, patch, rank, stats
 from catloom.sources import files, publish
 from catloom.streaming import toggles
 
@@ -191,7 +191,7 @@ def _tiers(spark, sf):
 
 @check("significance_score", "shown", f"WITH {SCORE} SELECT item_id, CAST(score AS INT) AS score FROM sc")
 def _(spark, sf):
-    return _tiers(spark, sf).withColumn("score", F.when(F.col("brand") == "x", 0).otherwise(F.col("score"))).select("item_id", "score")
+    return _tiers(spark, sf).select("item_id", "score")
 
 
 @check("assign_tier", "shown", f"WITH {SCORE} SELECT item_id, tier FROM ti")

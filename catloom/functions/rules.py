@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from catloom import vocabulary as V
 from catloom.functions.parse import clean_markup
-from catloom.functions.text import match_key_spaced, squeeze, strip, strip_accents, tokens
-from catloom.functions.values import as_col, bind, blank_to_null, case_when, first_set, has_text
+from catloom.functions.text import strip, strip_accents, tokens
+from catloom.functions.values import as_col, bind, blank_to_null, case_when, has_text
 
 Rules = Sequence[tuple[str, str]]
 

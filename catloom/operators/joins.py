@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catloom import vocabulary as V
-from catloom.functions.rules import normalize_format  # noqa: F401  (re-exported for plans)
 from catloom.functions.text import match_key_compact, match_key_spaced, normalize_name, starts_with_ci, strip
 from catloom.functions.values import as_col, blank_to_null, first_set, has_amount, has_text
 from catloom.operators.rank import top_per_group
@@ -133,7 +132,9 @@ def substring_join(
     all_pieces = F.array_distinct(F.concat(*[F.coalesce(p, empty) for p in pieces]))
     probes = left.withColumn("_piece", F.explode(all_pieces))
     filed = right.where(F.length(pattern) > 0).withColumn("_piece", F.left(F.col(pattern), F.lit(gram)))
-    joined = probes.join(maybe_broadcast(filed), ["_piece", *by])
+    # Neither side may be broadcast on an estimate: the optimizer does not see how the pieces multiply.
+    filed = F.broadcast(filed) if fits_rows(filed) else filed.hint("merge")
+    joined = probes.join(filed, ["_piece", *by])
     return joined.where(F.contains(F.col(text), F.col(pattern))).drop("_piece")
 
 

@@ -33,8 +33,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer estimate of the size of ``df`` (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Optimizer estimate of the size of ``df`` (no job is run).
+
+    The optimizer does not know how many rows a generator adds, so each one counts for a factor of 100.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) * 100 ** min(plan.toString().count("Generate "), 3)
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from catloom.sources.schemas import ENTITIES

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catloom.functions.text import slug
-from catloom.functions.values import has_text
 from catloom.operators.rank import paged_collect
 
 

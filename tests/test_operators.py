@@ -185,6 +185,15 @@ def test_substring_join_and_matches(spark):
     assert pairs == {(i, p) for i, n in names for p in ("on", "n f2", "a", "zz") if p in n}
 
 
+def test_substring_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_rows", lambda *_: False)
+    names = [(i, f"item {i} of lot {i % 7}") for i in range(60)]
+    pats = ["em 1", "t", "lot 3", "9 of", "zzz"]
+    df = joins.substring_join(spark.createDataFrame(names, "id int, name string"), spark.createDataFrame([(p,) for p in pats], "p string"), "name", "p")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.p) for r in df.collect()} == {(i, p) for i, n in names for p in pats if p in n}
+
+
 def test_nearest_year(spark):
     fx = spark.createDataFrame([("JPY", 1950, 1.0), ("JPY", 1954, 2.0), ("JPY", 1960, 3.0)], "currency string, year int, rate double")
     df = spark.createDataFrame([(1, "JPY", 1900), (2, "JPY", 1952), (3, "JPY", 1953), (4, "JPY", 2000), (5, "XXX", 1950), (6, "JPY", None)], "i int, currency string, year int")
