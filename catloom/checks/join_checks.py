@@ -216,10 +216,12 @@ def _(spark, sf):
     return joins.lookup_join(view(spark, sf, "items"), colors, "item_id", "color", "color").select("item_id", "color")
 
 
-@check("rebuild_paths", "images", """
+@check("rebuild_paths", "images inventory", """
+WITH f AS (SELECT path FROM inventory UNION SELECT 'p/' || CAST(item_id AS VARCHAR) || '_' || CAST(pos AS VARCHAR) || '.png' FROM images WHERE width > 25)
 SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN p IS NOT DISTINCT FROM local_path THEN 'unchanged' WHEN p IS NULL THEN 'cleared' ELSE 'set' END AS status FROM (
-    SELECT local_path, CASE WHEN source = 'flickr_scrape' AND local_path IS NOT NULL THEN local_path WHEN width > 25 THEN 'p/' || CAST(item_id AS VARCHAR) || '_' || CAST(pos AS VARCHAR) || '.png' END AS p FROM images)) GROUP BY status""")
+    SELECT i.local_path, coalesce(a.path, b.path) AS p FROM images i LEFT JOIN f a ON a.path = i.local_path
+    LEFT JOIN f b ON b.path = 'p/' || CAST(i.item_id AS VARCHAR) || '_' || CAST(i.pos AS VARCHAR) || '.png')) GROUP BY status""")
 def _(spark, sf):
     i = view(spark, sf, "images").withColumn("png", F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("_"), F.col("pos").cast("string"), F.lit(".png"))).withColumn("jpg", F.col("local_path"))
     files = view(spark, sf, "inventory").union(i.where("width > 25").select("png"))
