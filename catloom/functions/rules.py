@@ -116,7 +116,7 @@ def is_excluded_tech(
     patterns: Sequence[str] = V.EXCLUDED_TECH_PATTERNS,
 ) -> Column:
     """Exact name, brand, or any pattern in name and type."""
-    name = as_col(name)
+    name = F.coalesce(as_col(name), F.lit(""))
     text = name if item_type is None else F.concat_ws(" ", name, F.coalesce(as_col(item_type), F.lit("")))
     hit = F.lower(name).isin(list(names)) | matches_any(text, patterns)
     if brand is not None:
@@ -132,7 +132,7 @@ def is_non_retail(
     novelty: Sequence[str] = V.NOVELTY_PATTERNS,
     brands: Sequence[str] = V.NON_RETAIL_BRANDS + V.COUNTRY_BRANDS + V.NOISE_BRANDS,
 ) -> Column:
-    text = F.concat(as_col(name), F.lit(" "), F.coalesce(as_col(description), F.lit("")))
+    text = F.concat(F.coalesce(as_col(name), F.lit("")), F.lit(" "), F.coalesce(as_col(description), F.lit("")))
     blocked = F.coalesce(F.lower(as_col(brand)).isin(list(brands)), F.lit(False))
     hit = matches_any(text, list(novelty)) if novelty else F.lit(False)
     if keywords:

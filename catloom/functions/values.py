@@ -48,6 +48,11 @@ def case_when(branches: list[tuple[Column, Column]], otherwise: Column | None =
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 
+def spread_nulls(df: DataFrame, key: str) -> Column:
+    """A text key for a left join in which rows without a key get keys of their own, so they do not share a task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string")))
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once.
 

@@ -159,9 +159,22 @@ def plan_targets(files: DataFrame, folder: str, path: str, order: Sequence[Colum
 
 
 def plan_orphan_targets(files: DataFrame, path: str, folder: str) -> DataFrame:
-    """Orphans keep their file name; later ones of the same name get ``_dup2``, ``_dup3``, ..."""
+    """Orphans keep their file name; later ones of the same name get ``_dup2``, ``_dup3``, ...
+
+    A number is skipped where a file already has that name. Numbers in use per name are ranked: the i-th of them, b,
+    moves every later copy whose place is b - i or more by one.
+    """
     leaf = F.regexp_extract(F.col(path), r"([^/]+)$", 1)
     ranked = rank_rows(files.withColumn("_leaf", leaf), [F.col(path)], ["_leaf"], "_n")
     stem, ext = F.regexp_replace("_leaf", r"\.[^.]+$", ""), F.regexp_extract("_leaf", r"(\.[^.]+)$", 1)
-    name = F.when(F.col("_n") == 1, F.col("_leaf")).otherwise(F.concat(stem, F.lit("_dup"), F.col("_n").cast("string"), ext))
-    return ranked.withColumn("target", F.concat(F.lit(folder + "/"), name)).drop("_leaf", "_n")
+    used = ranked.select("_leaf").distinct().withColumn("_used", F.regexp_extract("_leaf", r"_dup([1-9][0-9]{0,8})(?:\.[^.]+)?$", 1))
+    used = used.where("_used <> ''").withColumn("_of", F.regexp_replace("_leaf", r"_dup[1-9][0-9]{0,8}(\.[^.]+)?$", "$1"))
+    used = used.select("_of", F.col("_used").cast("long").alias("_used")).where("_used >= 2")
+    used = rank_rows(used, [F.col("_used")], ["_of"], "_i").select("_of", (F.col("_used") - F.col("_i")).alias("_from"))
+    later = ranked.where("_n > 1").join(used, (F.col("_leaf") == F.col("_of")) & (F.col("_from") <= F.col("_n") - 1), "left")
+    keys = [c for c in ranked.columns]
+    moved = later.groupBy(*keys).agg(F.count("_of").alias("_moved"))
+    every = ranked.where("_n = 1").withColumn("_moved", F.lit(0).cast("long")).unionByName(moved)
+    number = (F.col("_n") + F.col("_moved")).cast("string")
+    name = F.when(F.col("_n") == 1, F.col("_leaf")).otherwise(F.concat(stem, F.lit("_dup"), number, ext))
+    return every.withColumn("target", F.concat(F.lit(folder + "/"), name)).drop("_leaf", "_n", "_moved")

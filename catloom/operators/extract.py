@@ -23,15 +23,22 @@ from catloom.operators.joins import convert_currency
 def kv_block(text: Column | str, block_names: Sequence[str]) -> Column:
     """Parameters of the first template with one of the names, as a map with lower-case keys.
 
-    The template may nest others three levels deep; the balanced body is one regular expression.
+    The template may nest others at any depth: the text behind its name is cut at double braces, and the
+    body goes on until the depth falls below its own.
     """
     col = as_col(text)
-    plain = r"[^{}]++|\{(?!\{)|\}(?!\})"
-    inner = plain
-    for _ in range(3):
-        inner = plain + rf"|\{{\{{(?:{inner})*+\}}\}}"
     names = "|".join(re.escape(n) for n in block_names)
-    body = F.regexp_extract(col, rf"(?i)\{{\{{\s*(?:{names})\s*\n?\|((?:{inner})*+)", 1)
+    head = rf"\{{\{{\s*(?:{names})\s*\n?\|"
+    rest = F.when(col.rlike(f"(?i){head}"), F.regexp_replace(col, rf"(?is)\A.*?{head}", ""))
+    pieces = F.regexp_extract_all(F.coalesce(rest, F.lit("")), F.lit(r"\{\{|\}\}|[^{}]+|[{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("body"))
+
+    def step(state: Column, piece: Column) -> Column:
+        change = F.when(piece == "{{", 1).when(piece == "}}", -1).otherwise(0)
+        depth = F.when(state["depth"] < 0, state["depth"]).otherwise(state["depth"] + change)
+        return F.struct(depth.alias("depth"), F.when(depth < 0, state["body"]).otherwise(F.concat(state["body"], piece)).alias("body"))
+
+    body = F.aggregate(pieces, start, step, lambda state: state["body"])
     lines = F.filter(F.split(body, r"\n\s*\|"), lambda x: F.contains(x, F.lit("=")))
     entry = lambda x: F.struct(
         strip(F.lower(F.split_part(x, F.lit("="), F.lit(1)))).alias("key"),
@@ -186,6 +193,7 @@ TABLE_SCHEMA = T.StructType(
         T.StructField("row_no", T.IntegerType()),
         T.StructField("cells", T.ArrayType(T.StringType())),
         T.StructField("links", T.ArrayType(T.StringType())),
+        T.StructField("heads", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -195,40 +203,79 @@ class _TableReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__()
-        self.table, self.rows, self.row, self.cell, self.link = 0, [], None, None, None
+        self.tables = 0
+        self.rows: list[tuple[int, list]] = []
+        self.open: list[dict] = []  # tables being read, the innermost last
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.table += 1
+            self.tables += 1
+            self.open.append({"no": self.tables, "row": None, "cell": None, "link": None})
+        elif not self.open:
+            return
         elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell, self.link = [], None
-        elif tag == "a" and self.cell is not None and self.link is None:
-            self.link = dict(attrs).get("href")
+            self._end_row()
+            self.open[-1]["row"] = []
+        elif tag in ("td", "th"):
+            self._end_cell()
+            top = self.open[-1]
+            if top["row"] is None:  # a cell may open its row
+                top["row"] = []
+            top["cell"], top["link"] = [], None
+        elif tag == "a" and self.open[-1]["cell"] is not None and self.open[-1]["link"] is None:
+            self.open[-1]["link"] = dict(attrs).get("href")
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.row.append(("".join(self.cell).strip(), self.link))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.rows.append((self.table, self.row))
-            self.row = None
+        if not self.open:
+            return
+        if tag in ("td", "th"):
+            self._end_cell()
+        elif tag == "tr":
+            self._end_row()
+        elif tag == "table":
+            self._end_row()
+            self.open.pop()
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1]["cell"] is not None:
+            self.open[-1]["cell"].append(data)
+
+    def _end_cell(self):
+        top = self.open[-1]
+        if top["cell"] is not None:
+            top["row"].append(("".join(top["cell"]).strip(), top["link"]))
+            top["cell"] = None
+
+    def _end_row(self):
+        self._end_cell()
+        top = self.open[-1]
+        if top["row"] is not None:
+            self.rows.append((top["no"], top["row"]))
+            top["row"] = None
+
+    def finish(self):
+        self.close()
+        while self.open:
+            self._end_row()
+            self.open.pop()
 
 
 def _read_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Data rows with the header row of their table, which is its first row."""
     for batch in batches:
         out = []
         for key, html in zip(batch["page_key"], batch["html"]):
             reader = _TableReader()
             reader.feed(html or "")
+            reader.finish()
+            heads: dict[int, list[str]] = {}
             for no, (table, row) in enumerate(reader.rows):
-                out.append((key, table, no, [text for text, _ in row], [link for _, link in row]))
-        yield pd.DataFrame(out, columns=["page_key", "table_no", "row_no", "cells", "links"])
+                cells = [text for text, _ in row]
+                if table in heads:
+                    out.append((key, table, no, cells, [link for _, link in row], heads[table]))
+                else:
+                    heads[table] = cells
+        yield pd.DataFrame(out, columns=["page_key", "table_no", "row_no", "cells", "links", "heads"])
 
 
 # Header word -> column role, first match wins.
@@ -248,12 +295,11 @@ def html_table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     pages = df.select(F.col(key).cast("string").alias("page_key"), F.col(html).alias("html"))
     rows = pages.mapInPandas(_read_tables, TABLE_SCHEMA)
     table = ["page_key", "table_no"]
-    heads = rows.groupBy(*table).agg(F.min_by("cells", "row_no").alias("heads"), F.min("row_no").alias("head_no"), F.count("*").alias("n"))
     role = lambda h: case_when([(F.lower(h).rlike(p), F.lit(r)) for p, r in TABLE_ROLES])
     roles = F.transform("heads", role)
     # The last header of a role wins; without a name column the first one is used.
     at = lambda r: F.size("roles") + 1 - F.nullif(F.array_position(F.reverse("roles"), r), F.lit(0))
-    data = rows.join(heads.where("n >= 2").withColumn("roles", roles), table).where("row_no > head_no")
+    data = rows.withColumn("roles", roles)
     pick = lambda array, r: F.try_element_at(array, at(r).cast("int"))
     name_at = F.coalesce(at("name"), F.lit(1)).cast("int")
     return data.select(
@@ -313,19 +359,25 @@ def labelled_fields(df: DataFrame, key: str, texts: str, labels: Sequence[str],
 def claim_value(claims: Column | str, prop: str) -> Column:
     """First typed value of a property: entity id, string, year of a time, amount of a quantity.
 
-    ``claims`` is JSON text or a variant.
+    A claim without a usable value gives way to the next one. ``claims`` is JSON text or a variant.
     """
-    value = f"$.{prop}[0].mainsnak.datavalue"
-    doc = F.try_parse_json(as_col(claims))
-    get = lambda path: F.try_variant_get(doc, value + path, "string")
-    kind = get(".type")
-    return (
-        F.when(kind == "wikibase-entityid", get(".value.id"))
-        .when(kind == "string", get(".value"))
-        .when(kind == "time", F.substr(get(".value.time"), F.lit(2), F.lit(4)).try_cast("int").cast("string"))
-        .when(kind == "quantity", F.regexp_replace(get(".value.amount"), r"^\++", ""))
+    claimed = F.from_json(
+        F.try_variant_get(F.try_parse_json(as_col(claims)), f"$.{prop}", "string"),
+        "array<struct<mainsnak:struct<datavalue:struct<type:string,value:string>>>>",
     )
 
+    def read(claim: Column) -> Column:
+        kind, value = claim["mainsnak"]["datavalue"]["type"], claim["mainsnak"]["datavalue"]["value"]
+        time = F.substr(F.get_json_object(value, "$.time"), F.lit(2), F.lit(4))
+        return (
+            F.when(kind == "wikibase-entityid", F.get_json_object(value, "$.id"))
+            .when(kind == "string", value)
+            .when(kind == "time", time.try_cast("int").cast("string"))
+            .when(kind == "quantity", F.regexp_replace(F.get_json_object(value, "$.amount"), r"^\++", ""))
+        )
+
+    return F.try_element_at(F.filter(F.transform(claimed, read), lambda v: v.isNotNull()), F.lit(1))
+
 
 def claim_ids(claims: Column | str, prop: str) -> Column:
     """All entity ids of a property."""
@@ -359,7 +411,8 @@ def listing_cards(df: DataFrame, key: str, answer: str) -> DataFrame:
 
 def html_cards(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, pos, title, price) of a results page: only bold, not struck-through prices count as sold."""
-    chunks = F.slice(F.split(F.col(html), r'(?=<li[^>]*class="[^"]*s-card)'), 2, 1_000_000)
+    chunks = F.split(F.col(html), r'(?=<li[^>]*class="[^"]*s-card)')
+    chunks = F.slice(chunks, F.lit(2), F.size(chunks))
     rows = df.select(F.col(key), F.posexplode(chunks).alias("pos", "_card"))
     card = F.col("_card")
     rows = rows.select(F.col(key), "pos", "_card")

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catloom import vocabulary as V
 from catloom.functions.text import match_key_compact, match_key_spaced, normalize_name, starts_with_ci, strip
-from catloom.functions.values import as_col, blank_to_null, first_set, has_amount, has_text
+from catloom.functions.values import as_col, blank_to_null, first_set, has_amount, has_text, spread_nulls
 from catloom.operators.rank import top_per_group
-from catloom.runtime import BROADCAST_ROWS, fits_rows
+from catloom.runtime import fits_bytes
 
 
-def maybe_broadcast(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension only after its rows were counted; otherwise Spark shuffles both sides."""
-    return F.broadcast(dim) if fits_rows(dim, rows) else dim
+def maybe_broadcast(dim: DataFrame) -> DataFrame:
+    """Broadcast a dimension whose estimated size is small; otherwise the choice is Spark's."""
+    return F.broadcast(dim) if fits_bytes(dim) else dim
 
 
 # --- Brand names -----------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def localized_name(df: DataFrame, name: str, brand: str, prefixes: DataFrame, ke
     ``prefixes``: ord, prefix, brand. The prefix of lowest order replaces itself; without one the
     canonical brand is put in front.
     """
-    eligible = F.col(name).rlike("[一-鿿]") & ~F.col(name).rlike("[a-zA-Z]")
+    eligible = F.coalesce(F.col(name).rlike("[一-鿿]") & ~F.col(name).rlike("[a-zA-Z]"), F.lit(False))
     heads = prefixes.select("ord", "prefix", F.col("brand").alias("_brand"))
     found = substring_join(df.where(eligible).select(key, name), heads, name, "prefix")
     found = found.where(F.startswith(F.col(name), F.col("prefix")))
@@ -131,9 +131,17 @@ def substring_join(
     empty = F.array().cast("array<string>")
     all_pieces = F.array_distinct(F.concat(*[F.coalesce(p, empty) for p in pieces]))
     probes = left.withColumn("_piece", F.explode(all_pieces))
-    filed = right.where(F.length(pattern) > 0).withColumn("_piece", F.left(F.col(pattern), F.lit(gram)))
+    # Each pattern is filed under its rarest piece: a beginning that many patterns share would meet too many texts.
+    width = F.least(F.length(pattern), F.lit(gram))
+    places = F.sequence(F.lit(1), F.length(pattern) - width + 1)
+    distinct = right.where(F.length(pattern) > 0).select(pattern, *by).distinct()
+    grams = distinct.withColumn("_piece", F.explode(F.transform(places, lambda i: F.substr(F.col(pattern), i, width))))
+    often = grams.groupBy("_piece", *by).agg(F.count("*").alias("_often"))
+    rarest = grams.join(often.hint("merge"), ["_piece", *by]).groupBy(pattern, *by).agg(
+        F.min_by("_piece", F.struct("_often", "_piece")).alias("_piece"))
+    filed = right.join(rarest.hint("merge"), [pattern, *by])
     # Neither side may be broadcast on an estimate: the optimizer does not see how the pieces multiply.
-    filed = F.broadcast(filed) if fits_rows(filed) else filed.hint("merge")
+    filed = F.broadcast(filed) if fits_bytes(right) else filed.hint("merge")
     joined = probes.join(filed, ["_piece", *by])
     return joined.where(F.contains(F.col(text), F.col(pattern))).drop("_piece")
 
@@ -365,7 +373,7 @@ def rebuild_paths(df: DataFrame, inventory: DataFrame, current: str, expected: S
     files = inventory.select("path").distinct()
     for column in expected:
         side = files.select(F.col("path").alias("_have_" + column))
-        df = df.join(side, F.col(column) == F.col("_have_" + column), "left")
+        df = df.join(side, spread_nulls(df, column) == F.col("_have_" + column), "left")
     new_path = F.coalesce(*["_have_" + column for column in expected])
     status = (
         F.when(F.col("new_path").eqNullSafe(F.col(current)), F.lit("unchanged"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from catloom import vocabulary as V
 from catloom.functions.rules import is_prestige
 from catloom.functions.values import as_col, has_amount, has_text
-from catloom.runtime import SMALL_BYTES, cut_lineage, is_small
+from catloom.runtime import cut_lineage
 
 
 def rank_rows(
@@ -17,20 +17,15 @@ def rank_rows(
     order: Sequence[Column],
     by: Sequence[str] = (),
     name: str = "rank",
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Add the 1-based position of each row under ``order``, over all rows or within ``by``.
 
-    A row_number window puts each key (or, without keys, everything) in one task. Beyond
-    ``small_bytes`` rows are range-partitioned on (by, order) instead, so a hot key is spread over
-    many tasks; each task counts its own rows and a table with at most one row per task carries
-    the positions over to the next one. ``order`` must be total.
+    A row_number window would put each key (or, without keys, everything) in one task. Rows are
+    range-partitioned on (by, order) instead, so a hot key is spread over many tasks; each task counts
+    its own rows and a table with at most one row per task carries the positions over to the next
+    one. ``order`` must be total.
     """
     by, order = list(by), list(order)
-    if is_small(df, small_bytes):
-        window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        return df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long"))
-
     ranged = df.repartitionByRange(*[F.col(b) for b in by], *order)
     # Written once: the range bounds come from a sample and must not be drawn twice.
     parts = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
@@ -156,8 +151,7 @@ def spiral_cells(size: DataFrame, hero_cols: int = 3, hero_rows: int = 2) -> Dat
         .select("slot", "col", "row", F.sqrt(dx * dx + dy * dy).alias("distance"), F.atan2(dy, dx).alias("angle"))
     )
     order = [F.col("distance"), F.col("angle"), F.col("slot")]
-    # The estimate of an exploded sequence says nothing about n: rank by range partitions.
-    return rank_rows(placed, order, name="rank", small_bytes=-1)
+    return rank_rows(placed, order, name="rank")
 
 
 def place_by_rank(items: DataFrame, cells: DataFrame, order: Sequence[Column]) -> DataFrame:

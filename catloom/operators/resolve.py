@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catloom.functions.values import as_col, has_text, nonempty
-from catloom.runtime import cut_lineage, fits_rows
-
-# Pair graphs up to this many undecided edges are finished in one pass.
-SEQUENTIAL_EDGES = 50_000
+from catloom.functions.values import as_col, has_text, nonempty, spread_nulls
+from catloom.runtime import cut_lineage
 
 
 def cluster_id(key: Column | str) -> Column:
@@ -21,7 +17,7 @@ def cluster_id(key: Column | str) -> Column:
 
 def _link(df: DataFrame, column: str, seq: str, name: str) -> DataFrame:
     firsts = df.where(has_text(column)).groupBy(F.col(column).alias("_k")).agg(F.min(seq).alias(name))
-    return df.join(firsts, F.col(column) == F.col("_k"), "left").drop("_k")
+    return df.join(firsts, spread_nulls(df, column) == F.col("_k"), "left").drop("_k")
 
 
 def link_by_external_id(df: DataFrame, external_id: str, seq: str, name: str = "id_leader") -> DataFrame:
@@ -83,43 +79,33 @@ def connect(df: DataFrame, key: str, external_id: str, seq: str, name: str = "cl
     return df.join(mapping, F.col(key) == F.col("_key")).drop("_key")
 
 
-def _greedy_pass(edges: pd.DataFrame) -> pd.DataFrame:
-    """Walk the nodes in order; one that no earlier leader touches becomes a leader."""
-    neighbours = edges.groupby("b")["a"].agg(set)
-    leaders: set[int] = set()
-    for node in sorted(set(edges["a"]) | set(edges["b"])):
-        if leaders.isdisjoint(neighbours.get(node, ())):
-            leaders.add(node)
-    return pd.DataFrame({"node": sorted(leaders)}, dtype="int64")
-
-
-def fuzzy_cluster(pairs: DataFrame, a: str = "id_a", b: str = "id_b", sequential_edges: int = SEQUENTIAL_EDGES) -> DataFrame:
+def fuzzy_cluster(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(member, leader) of the greedy star clustering over similar pairs, smaller id first.
 
     Taken in id order, a record absorbs every later neighbour still standing, and an absorbed record
-    absorbs nothing. Equivalently: a record leads when none of its smaller neighbours leads. Rounds
-    settle all records whose smaller neighbours are settled; once few edges are left (counted), one
-    pass over them finishes the work.
+    absorbs nothing. Equivalently: a record leads when none of its smaller neighbours leads. Each round
+    settles all records whose smaller neighbours are settled, until no edge is open. Rounds follow the
+    longest chain of neighbours in id order: few in practice, half its length at worst.
     """
     graph = cut_lineage(pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).distinct())
-    rest, found = graph, None
-    while not fits_rows(rest, sequential_edges):
+    rest, found = graph, graph.select(F.col("a").alias("node")).limit(0)
+    while not rest.isEmpty():
         later = rest.select(F.col("b").alias("a")).distinct()
         leaders = rest.select("a").distinct().join(later, "a", "left_anti")
         absorbed = rest.join(leaders, "a").select("b").distinct()
-        leaders = cut_lineage(leaders.withColumnRenamed("a", "node"))
-        found = leaders if found is None else found.unionByName(leaders)
-        gone = absorbed.select(F.col("b").alias("a"))
-        open_edges = rest.join(absorbed, "b", "left_anti").join(gone, "a", "left_anti")
-        # A node whose smaller neighbours all fell keeps no edge as ``b``; without edges as ``a``
+        # Edges between records that are still undecided.
+        open_edges = cut_lineage(
+            rest.join(leaders, "a", "left_anti").join(absorbed, "b", "left_anti")
+            .join(absorbed.select(F.col("b").alias("a")), "a", "left_anti")
+        )
+        # A record whose smaller neighbours all fell keeps no edge as ``b``; without edges as ``a``
         # either, it would be lost, so it is settled here.
         freed = rest.join(absorbed, "b", "left_anti").select(F.col("b").alias("node")).distinct()
-        still = open_edges.select(F.col("a").alias("node")).unionByName(open_edges.select(F.col("b").alias("node"))).distinct()
-        found = found.unionByName(cut_lineage(freed.join(still, "node", "left_anti")))
-        rest = cut_lineage(open_edges)
-    last = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_greedy_pass, "node long")
-    leaders = last if found is None else found.unionByName(last)
-    leaders = cut_lineage(leaders.distinct())
+        still = open_edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        settled = leaders.withColumnRenamed("a", "node").unionByName(freed.join(still, "node", "left_anti"))
+        found = found.unionByName(cut_lineage(settled.distinct()))
+        rest = open_edges
+    leaders = cut_lineage(found.distinct())
     absorbed = graph.join(leaders.withColumnRenamed("node", "a"), "a")
     return absorbed.join(leaders.withColumnRenamed("node", "b"), "b", "left_anti").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A table under this estimated size may be ranked by one ordinary window per key.
-SMALL_BYTES = 64 * 1024 * 1024
-# A dimension up to this many rows may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 20_000
+# A dimension of up to this estimated size may be broadcast; Spark decides about all others.
+BROADCAST_BYTES = 8 * 1024 * 1024
+_SHIPPED: set[str] = set()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -32,22 +33,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer estimate of the size of ``df`` (no job is run).
+def fits_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True when the optimizer's estimate of ``df`` is at most ``limit`` bytes; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
-    The optimizer does not know how many rows a generator adds, so each one counts for a factor of 100.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) * 100 ** min(plan.toString().count("Generate "), 3)
 
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
-
-
-def fits_rows(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once per application, so that they need no copy of the repository."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-ship-")), "catloom")
+    context.addPyFile(shutil.make_archive(base, "zip", top, "catloom"))
 
 
 def work_folder(spark: SparkSession) -> str:

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from catloom.operators.rank import rank_rows
 from catloom.sources.schemas import ENTITIES
 
 
 def read_source_records(spark: SparkSession, root: str, sources: Sequence[str], entity: str, multiline: bool = True) -> DataFrame:
     """Records of all sources in priority order; a missing file counts as empty.
 
-    Adds source_name, source_rank and seq, a total order by rank, file and position in it. JSON
+    Adds source_name, source_rank and seq, a total order by rank, file and position in it, whatever
+    the cores and split sizes. JSON
     arrays need ``multiline``, which reads one file per task; large feeds are written as JSON lines
     (``write_records``) and read with ``multiline=False``, split like any text.
     """
@@ -26,9 +28,15 @@ def read_source_records(spark: SparkSession, root: str, sources: Sequence[str],
             if error.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        tagged = rows.select(
-            "*", F.lit(source).alias("source_name"), F.lit(rank).alias("source_rank"),
-            (F.lit(rank).cast("long") * F.lit(1 << 56) + F.monotonically_increasing_id()).alias("seq"),
+        # Blocks of a file and rows of a block come in file order however the file is split.
+        placed = rows.select(
+            "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
+        ranked = rank_rows(placed, [F.col("_path"), F.col("_block"), F.col("_row")], name="_place")
+        tagged = ranked.select(
+            *rows.columns, F.lit(source).alias("source_name"), F.lit(rank).alias("source_rank"),
+            (F.lit(rank).cast("long") * F.lit(1 << 56) + F.col("_place") - 1).alias("seq"),
         )
         merged = merged.unionByName(tagged)
     return merged
