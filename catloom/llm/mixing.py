@@ -144,20 +144,22 @@ def _rate(steps: list[list[float]], columns: list[Column]) -> Column:
 
 
 def fit_rates(
-    table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], rounds: int = 40, tolerance: float = 1e-3,
+    table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], upsample: bool = False, rounds: int = 40,
+    tolerance: float = 1e-3,
 ) -> Column:
     """Nonnegative rates, as a column, so that sums of rate * n_tokens * p_domain come to the target totals.
 
     Least squares of the relative misses by projected gradient from rate 1, in the metric weighted by tokens.
     A step is known by one number per domain, so a round is one aggregate over ``table`` and any task can be run
     again; the targets' total is set so that the first domain keeps its expected tokens. Domains without tokens are left out.
+    Unless ``upsample``, a domain that has less than its share keeps what it has: its few documents are not repeated.
     """
     shares = [F.col(f"p_{d}") for d in domains]
     amount = F.col("n_tokens").cast("double")
     sums = lambda rate: table.agg(*[F.coalesce(F.sum(rate * amount * p), F.lit(0.0)) for p in shares]).first()
     start = sums(F.lit(1.0))
     total = start[0] / targets[domains[0]]
-    wanted = [targets[d] * total for d in domains]
+    wanted = [targets[d] * total if upsample else min(targets[d] * total, s) for d, s in zip(domains, start, strict=True)]
     steps: list[list[float]] = []
     now = start
     for _ in range(rounds):
@@ -171,7 +173,8 @@ def fit_rates(
 
 def mix(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", domains: Sequence[str] = DOMAINS,
-    targets: Mapping[str, float] = TARGETS, sample_rows: int = 20_000, features: int = 64, seed: str = "mix",
+    targets: Mapping[str, float] = TARGETS, sample_rows: int = 20_000, features: int = 64, upsample: bool = False,
+    seed: str = "mix",
 ) -> DataFrame:
     """Per row: id, n_tokens, p_<domain> ..., rate, copies.
 
@@ -180,7 +183,7 @@ def mix(
     count as the worst of them; without labels all domains share every document alike. Repeated rows have equal results.
     """
     table = stored(domain_posteriors(docs, labels, id, text, domains, sample_rows, features))
-    rate = fit_rates(table, domains, targets)
+    rate = fit_rates(table, domains, targets, upsample)
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1 << 32)) / float(1 << 32)
     out = table.withColumn("rate", rate)
     whole = F.floor("rate")

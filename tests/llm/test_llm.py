@@ -500,7 +500,8 @@ def test_mixing(spark, edge, labels, no_labels, none):
     t, rate = np.array([r["n_tokens"] for r in rows], float), np.array([r["rate"] for r in rows])
     assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
     start = t @ p
-    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * start[0] / mixing.TARGETS["clean"]
+    # The stage keeps what a domain has if that is less than its share.
+    want = np.minimum(start, np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * start[0] / mixing.TARGETS["clean"])
     slow = np.ones(len(rows))  # the same descent, by hand
     for _ in range(40):
         miss = ((slow * t) @ p - want) / start
@@ -510,6 +511,11 @@ def test_mixing(spark, edge, labels, no_labels, none):
     assert np.allclose(slow, rate, atol=1e-6)
     assert abs((rate * t) @ p - want).max() / start[0] < 0.01
     assert all(abs(r["copies"] - r["rate"]) < 1 for r in rows)
+    # A rare domain is repeated only on demand.
+    small = spark.createDataFrame([(i, 100, float(i > 1), float(i == 1), 0.0) for i in range(1, 101)], "doc_id long, n_tokens long, p_clean double, p_toxic double, p_low double")
+    for upsample, rate in ((False, 1.0), (True, 0.02 / 0.97 * 99)):
+        fitted = small.withColumn("r", mixing.fit_rates(small, mixing.DOMAINS, mixing.TARGETS, upsample)).orderBy("doc_id").collect()
+        assert fitted[0]["r"] == pytest.approx(rate, rel=1e-2) and fitted[1]["r"] == pytest.approx(1, abs=1e-2)
     for marks in (labels, no_labels):
         got = mixing.mix(edge, marks).collect()
         assert len(got) == len(EDGE) and all(r["rate"] >= 0 and r["copies"] is not None for r in got)
