@@ -106,13 +106,20 @@ def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = (i, j) if len(i) < 4096 else (i[changed | (label[i] != label[j])], j[changed | (label[i] != label[j])])
 
 
-def _spanning_labels(n: int, tile: int, pairs: Callable[[slice, slice], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest row of each row's component, from the pairs of all tiles."""
-    label = np.arange(n)
+def _spanning_labels(
+    n: int, tile: int, pairs: Callable[[slice, slice], tuple[np.ndarray, np.ndarray]], known: np.ndarray | None = None,
+) -> np.ndarray:
+    """Smallest row of each row's component, from the pairs of all tiles.
+
+    ``known`` may give each row an earlier row of its component. Two tiles that already are one component add nothing.
+    """
+    label = np.arange(n) if known is None else known.copy()
     tiles = [slice(a, min(a + tile, n)) for a in range(0, n, tile)]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = [] if known is None else [(np.arange(n), known)]
     for place, a in enumerate(tiles):
         for b in tiles[place:]:
+            if (label[a] == label[a.start]).all() and (label[b] == label[a.start]).all():
+                continue
             i, j = pairs(a, b)
             if len(i):
                 i, j = i + a.start, j + b.start
@@ -295,6 +302,23 @@ def similar_pairs(left: np.ndarray, right: np.ndarray, own: bool, radius: int, s
     return i[near], j[near]
 
 
+def _fold_on_pivots(prints: np.ndarray, radius: int, sieve: int) -> np.ndarray:
+    """Label of each row: an earlier row that it is similar to, or itself.
+
+    Takes the first open row, and all rows similar to it, as long as that settles an eighth of the open ones; so a bucket
+    full of copies of one text costs a pass, not all of its pairs.
+    """
+    label, left = np.arange(len(prints)), np.arange(len(prints))
+    while len(left) > 1:
+        apart = np.bitwise_count(prints[left] ^ prints[left[0]])
+        near = (apart.sum(axis=1, dtype=np.int64) <= radius) & (apart[:, 0] <= sieve)
+        label[left[near]] = left[0]
+        if 8 * near.sum() < len(left):
+            break
+        left = left[~near]
+    return label
+
+
 class _WideBuckets:
     """Cuts sorted (bucket, id, fingerprint) rows into tiles; memory is bounded by one bucket.
 
@@ -329,7 +353,14 @@ class _WideBuckets:
                 same = keys[a][i] == keys[b][j]
                 return i[same], j[same]
 
-            label = _spanning_labels(len(ids), WIDE_TILE, pairs)
+            known = None
+            if keys[0] == keys[-1]:  # one bucket: its groups side by side, so that their tiles settle at once
+                known = _fold_on_pivots(prints, self.radius, self.sieve)
+                order = np.argsort(known, kind="stable")
+                ids, prints = ids[order], prints[order]
+                _, first, place = np.unique(known[order], return_index=True, return_inverse=True)
+                known = first[place]
+            label = _spanning_labels(len(ids), WIDE_TILE, pairs, known)
             moved = np.flatnonzero(ids != ids[label])
             yield from zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True)
         self.held, self.rows = [], 0
