@@ -538,6 +538,16 @@ def test_rules(spark, docs, edge, labels, no_labels, none):
     assert rule_forest.forest_rules(none, no_labels).count() == 0
 
 
+def test_bounded_sample(spark):
+    """The rows of the smallest hashes, also when one id makes up most of the rows."""
+    hashed = F.xxhash64(F.lit("sample"), F.col("k"))
+    for key in (F.col("id"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7)):
+        rows = spark.range(6000).select(key.alias("k"))
+        want = [r["k"] for r in rows.orderBy(hashed).limit(50).collect()]
+        assert [r["k"] for r in rule_forest.bounded_sample(rows, "k", 50)] == want
+    assert len(rule_forest.bounded_sample(spark.range(3), "id", 50)) == 3 and rule_forest.bounded_sample(spark.range(0), "id", 5) == []
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     inner, outer = rng.normal(0, 1, (500, 3)), rng.normal(0, 1, (20, 3)) + 8
