@@ -362,6 +362,31 @@ def test_near_copies_by_similarity(spark, bucket_rows):
     assert all(x >= 0.6 for (i, j), x in alike.items() if got[i] == got[j] and j == i + 1)
 
 
+def test_hot_bucket_of_near_copies():
+    """One bucket of two groups of copies and rows of their own: the components of all pairs, one link per row at most."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (40, 7), dtype=np.uint64)
+    rows = base[np.concatenate((np.zeros(900, int), np.ones(400, int), np.arange(40)))].copy()
+    for row in rows[:1300]:
+        for bit in rng.choice(448, 45, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = rows[rng.permutation(len(rows))]
+    work = simhash._WideBuckets(80, 20)
+    work.held, work.rows = [(np.zeros(len(rows), np.int64), np.arange(len(rows)), rows)], len(rows)
+    links = list(work.close())
+    assert len(links) < len(rows)
+    root = np.arange(len(rows))
+    for _ in range(20):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = np.arange(len(rows))
+    i, j = simhash.similar_pairs(rows, rows, True, 80, 20)
+    for _ in range(20):
+        np.minimum.at(want, j, want[i])
+        np.minimum.at(want, i, want[j])
+    assert (root == want).all() and len(set(want.tolist())) == 40
+
+
 def test_near_copies_edge(edge, none):
     want = slow_near([(i, t) for i, t in EDGE if i is not None])
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(edge).collect()}
