@@ -33,8 +33,7 @@ def _state(links: DataFrame) -> tuple:
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
-    return stored(low)
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -46,7 +45,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is linked to the node's minimum."""
-    low = _minimum(links)
+    low = stored(_minimum(links))  # read twice
     met = links.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = low.select(F.col("k").alias("u"), F.col("m").alias("v"))
     return met.unionByName(own).where("u <> v").distinct()
