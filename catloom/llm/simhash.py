@@ -95,15 +95,18 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, own: bool) -> t
 
 
 def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Lower both ends of each pair to their smaller label, until nothing changes."""
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        changed = (label[i] != low) | (label[j] != low)
-        if not changed.any():
+    """Join the ends of each pair; each row's label becomes the smallest row of its tree, and nothing joined comes apart.
+
+    Labels point at earlier rows. Only roots are hooked to smaller roots, so a pair below one root may be dropped.
+    """
+    while True:
+        while ((above := label[label]) != label).any():
+            label[:] = above
+        apart = label[i] != label[j]
+        if not apart.any():
             return
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        i, j = (i, j) if len(i) < 4096 else (i[changed | (label[i] != label[j])], j[changed | (label[i] != label[j])])
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
 
 
 def _spanning_labels(
@@ -114,23 +117,14 @@ def _spanning_labels(
     ``known`` may give each row an earlier row of its component. Two tiles that already are one component add nothing.
     """
     label = np.arange(n) if known is None else known.copy()
+    _join_labels(label, np.zeros(0, np.int64), np.zeros(0, np.int64))
     tiles = [slice(a, min(a + tile, n)) for a in range(0, n, tile)]
-    found: list[tuple[np.ndarray, np.ndarray]] = [] if known is None else [(np.arange(n), known)]
     for place, a in enumerate(tiles):
         for b in tiles[place:]:
             if (label[a] == label[a.start]).all() and (label[b] == label[a.start]).all():
                 continue
             i, j = pairs(a, b)
-            if len(i):
-                i, j = i + a.start, j + b.start
-                _join_labels(label, i, j)
-                found.append((i, j) if len(i) < tile else _star(label, i, j))
-    for _ in range(len(found)):  # labels lowered by later tiles reach earlier ones
-        before = label.copy()
-        for i, j in found:
-            _join_labels(label, i, j)
-        if (before == label).all():
-            break
+            _join_labels(label, i + a.start, j + b.start)
     return label
 
 
@@ -142,12 +136,6 @@ def bucket_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarra
     return prints[moved], prints[label[moved]]
 
 
-def _star(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row of the pairs with its present label: as many links as rows, for the same components."""
-    nodes = np.unique(np.concatenate((i, j)))
-    return nodes, label[nodes]
-
-
 def _sketch(words: int):
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[tuple]:

@@ -291,6 +291,24 @@ def test_near_pairs_and_large_bucket():
     assert len({(root(int(p)), want[int(p)]) for p in prints}) == len(set(want.values()))
 
 
+def test_links_beside_a_dense_group():
+    """Over 4,096 pairs in one tile: a chain whose ends are lowered late, and two dense groups joined by one bridge."""
+    dense = np.array([(a, b) for a in range(100, 200) for b in range(a + 1, 200)])
+    chain = np.array([(10, 20), (20, 50), (50, 60), (1, 60)])
+    other = np.array([(a, b) for a in range(300, 400) for b in range(a + 1, 400)])
+    for links, groups in (([dense, chain], [{1, 10, 20, 50, 60}, set(range(100, 200))]),
+                          ([dense, other, [(150, 399)]], [{*range(100, 200), *range(300, 400)}])):
+        i, j = np.concatenate(links).T
+        want = np.arange(400)
+        for group in groups:
+            want[list(group)] = min(group)
+        for tile in (1024, 64):
+            def pairs(a, b):
+                own = (i >= a.start) & (i < a.stop) & (j >= b.start) & (j < b.stop)
+                return i[own] - a.start, j[own] - b.start  # noqa: B023
+            assert (simhash._spanning_labels(400, tile, pairs) == want).all()
+
+
 def shingle_sets(texts, k=5):
     out = {}
     for i, t in texts:
