@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from catloom.llm.common import map_batches, raw, stored
+from catloom.llm.common import key_bitmap, map_batches, mark_members, raw, stored
 from catloom.llm.components import components
 
 BITS = 64
@@ -407,7 +407,147 @@ def near_copies(
     return found.where("node <> root").select(F.col("node").alias(id), F.col("root").alias("component_id"))
 
 
+# --- Near copies by shingles: candidates without loss, each verified -----------------------------------------------
+
+#: Counters of shingle frequencies: a fixed number, whatever the input. They only order the shingles, rare ones first.
+COUNTERS, COUNTER_ROWS = 1 << 20, 256
+
+
+def shingle_hashes(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; fewer than ``words`` words are one shingle, no words the empty one."""
+    tokens = text.lower().split()
+    line = b" ".join(tokens)
+    if len(tokens) <= words:
+        shingles = [line]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+        shingles = [line[s:e] for s, e in zip(starts, ends[words - 1:].tolist(), strict=False)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles)))
+
+
+class _Frequencies:
+    """Counts the shingles of a task in ``COUNTERS`` counters, given out as rows of binary at the end."""
+
+    def __init__(self, words: int):
+        self.words, self.counts = words, np.zeros(COUNTERS, np.int64)
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        for text in raw(batch.column(0)):
+            np.add.at(self.counts, (shingle_hashes(text, self.words) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        return iter(())
+
+    def close(self) -> Iterator[tuple]:
+        for row, part in enumerate(self.counts.reshape(COUNTER_ROWS, -1)):
+            if part.any():
+                yield row, part.astype("<i8").tobytes()
+
+
+class _SumRows:
+    """Sums the binary rows of equal number."""
+
+    def __init__(self):
+        self.sums: dict[int, np.ndarray] = {}
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        for row, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            self.sums[row] = self.sums.get(row, 0) + np.frombuffer(part, "<i8")
+        return iter(())
+
+    def close(self) -> Iterator[tuple]:
+        for row, part in self.sums.items():
+            yield row, np.minimum(part, (1 << 31) - 1).astype("<u4").tobytes()
+
+
+def _rarity(texts: DataFrame, words: int) -> np.ndarray:
+    """Frequency of each counter: 4 MB, whatever the input."""
+    parts = map_batches(texts, "row int, counts binary", lambda: _Frequencies(words)).repartition("row")
+    out = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), np.uint32)
+    for row, counts in map_batches(parts, "row int, counts binary", _SumRows).collect():
+        out[row] = np.frombuffer(counts, "<u4")
+    return out.reshape(-1)
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose distinct shingles have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    bits = 1 << 24
+    ids = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n")))
+    met = mark_members(rows, "_id", key_bitmap(ids, "_n", bits), bits, "_in").where("_in").select("_id", "_text")
+
+    def sets():
+        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for row, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                yield row, shingle_hashes(text, words).astype("<u8").tobytes()
+        return work
+
+    def compare():
+        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
+            columns = (column.to_pylist() for column in batch.columns)
+            for a, b, left, right in zip(*columns, strict=True):
+                left, right = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                if 5 * common >= 4 * (len(left) + len(right) - common):
+                    yield a, b
+        return work
+
+    shingles = stored(map_batches(met, "_id long, _set binary", sets).distinct())
+    left = shingles.select(F.col("_id").alias("a"), F.col("_set").alias("_left"))
+    right = shingles.select(F.col("_id").alias("b"), F.col("_set").alias("_right"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
+    return map_batches(joined, "a long, b long", compare).distinct()
+
+
+def jaccard_copies(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, bucket_rows: int = 2048,
+) -> DataFrame:
+    """(id, component_id) of the ids in a group with a smaller id; groups are the components of all pairs with a similarity of 0.8.
+
+    Similarity is the Jaccard index of the distinct shingles (as 64-bit hashes). With shingles in one order for all
+    texts, a pair at 0.8 shares one of the first s - ceil(0.8 s) + 1 of each side's s, so filing texts under those loses
+    no pair; the order is by rarity, so that common passages hardly ever come first. Rows of a key are first compared
+    with its smallest id; then only pairs in different groups are left to compare. Rows without id take no part; rows that
+    repeat an id share one fate.
+    """
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rarity = rows.sparkSession.sparkContext.broadcast(_rarity(rows.select("_text"), words))
+
+    def first():
+        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for row, content in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                own = shingle_hashes(content, words)
+                rank = rarity.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                chosen = own[np.lexsort((own, rank))[:len(own) - (4 * len(own) + 4) // 5 + 1]]
+                yield row, xxhash.xxh128_digest(own.astype("<u8").tobytes()), len(own), chosen.view(np.int64).tolist()
+        return work
+
+    filed = stored(map_batches(rows, "_id long, same binary, size int, keys array<long>", first))
+    low = filed.groupBy("same").agg(F.min("_id").alias("b"))
+    equal = stored(filed.select("_id", "same").join(low, "same").where("_id <> b").select(F.col("_id").alias("a"), "b").distinct())
+    # Texts with equal shingles have equal keys: their smallest id stands for them.
+    heads = filed.groupBy("same").agg(F.min(F.struct("_id", "size", "keys")).alias("h")).select("h.*")
+    filed = heads.select("_id", "size", F.explode("keys").alias("key"))
+    lowest = filed.groupBy("key").agg(F.min(F.struct("_id", "size")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = filed.join(lowest.select("key", "low"), "key")
+    shared = stored(shared.select("key", F.col("_id").alias("id"), "size", F.col("low._id").alias("m"), F.col("low.size").alias("m_size")))
+    alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+    stars = shared.where((F.col("id") != F.col("m")) & alike(F.col("size"), F.col("m_size")))
+    stars = stored(stars.select(F.col("id").alias("a"), F.col("m").alias("b")).distinct())
+    links = stored(_verified(rows, stars, words).unionByName(equal))
+
+    groups = components(links)
+    marked = shared.select("key", "id", "size").join(groups, F.col("id") == F.col("node"), "left")
+    marked = stored(marked.select("key", "id", "size", F.coalesce("root", "id").alias("label")))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
+    dealt = stored(_deal(marked.join(mixed, "key"), "id", bucket_rows).select("bucket", "key", "id", "size", "label"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    open_pairs = x.join(y, ["bucket", "key"]).where(
+        (F.col("x.id") > F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.size"), F.col("y.size")))
+    open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_verified(rows, stored(open_pairs), words)))
+    return found.where("node <> root").select(F.col("node").alias(id), F.col("root").alias("component_id"))
+
+
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with one row per group of :func:`near_copies`, the one with the smallest id; same columns. Rows without id stay."""
-    dropped = near_copies(docs, id, text, words).select(F.col(id).alias("_drop"))
+    """``docs`` with one row per group of :func:`jaccard_copies`, the one with the smallest id; same columns. Rows without id stay."""
+    dropped = jaccard_copies(docs, id, text, words).select(F.col(id).alias("_drop"))
     return docs.join(dropped, docs[id] == dropped["_drop"], "left_anti")

@@ -414,6 +414,32 @@ def test_near_copies_edge(edge, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_drop_near_copies_verifies_shingles(spark, edge):
+    """What stays equals brute force on shingle sets: every pair at 0.8 or more is linked, no pair below."""
+    for texts, bucket_rows in ((near_variants(), 2), (near_variants(11), 2048), ([(i, t) for i, t in EDGE if i is not None], 2048)):
+        sets = shingle_sets(texts)
+        root = {i: i for i in sets}
+
+        def top(i):
+            while root[i] != i:  # noqa: B023
+                i = root[i]  # noqa: B023
+            return i
+
+        for i in sets:
+            for j in sets:
+                if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    a, b = top(i), top(j)
+                    root[max(a, b)] = min(a, b)
+        table = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in simhash.jaccard_copies(table, bucket_rows=bucket_rows).collect()}
+        assert got == {i: top(i) for i in sets if top(i) != i} and got
+    texts = near_variants()
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = shingle_sets(texts)
+    alone = {i for i in sets if not any(i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in sets)}
+    assert alone <= kept
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 500)]
