@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -36,6 +37,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MAIN_MARK = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|main)?[-_]?(?:body|content|text|article)(?:$|[-_ ])", re.I)
 
 
+#: Weight of the lines of regions that the page declares as main content.
+PRIOR = 2.0
+
+
 @dataclass
 class Line:
     """One block of text: its characters, those inside links, the tags met in it, and the container it stands in."""
@@ -65,6 +70,7 @@ class PageLines(HTMLParser):
         self.parts: list[str] = []
         self.linked = self.tags = self.links_open = 0
         self.regions = ["page"]  # kind of each region; regions are numbered as they begin
+        self.group = [0]  # outermost declared region around each region, or the region itself
         self.line_region = 0
 
     def _top(self) -> _Open:
@@ -100,6 +106,7 @@ class PageLines(HTMLParser):
         if not dropped and (kind or tag in ("section", "div", "td", "ul", "ol", "table", "main", "article", "dl")):
             self.regions.append(kind or "inner" if self._inside_main(above) else kind or "box")
             region = len(self.regions) - 1
+            self.group.append(self.group[above.region] if self._inside_main(above) else region)
         self.stack.append(_Open(tag, dropped, region))
         if tag == "a":
             self.links_open += 1
@@ -209,9 +216,9 @@ def main_text(html: bytes) -> str:
     Lines are the blocks of the page outside menus, headers, footers, forms, scripts and boxes marked
     as adverts, notices or comments. Each line has the ratio of its unlinked characters to its
     tags, smoothed over its neighbours; two-means clustering of the logarithms gives a threshold, and a
-    region belongs to the content if one of its lines reaches it. Regions the page itself declares as
-    main content need no ratio; then only those are searched. A region is kept or dropped whole, so a short
-    paragraph of the article is never lost.
+    region belongs to the content if one of its lines reaches it and it is not mostly links. A region that the page
+    declares as main content is decided with all regions inside it, and its lines count ``PRIOR`` times; no region
+    is taken for its name alone. A region is kept or dropped whole, so a short paragraph of the article is never lost.
     """
     page = PageLines()
     page.feed(html.decode("utf-8", "replace"))
@@ -220,29 +227,28 @@ def main_text(html: bytes) -> str:
         page._pop()
     page.flush()
     lines = page.lines
-    declared = [line for line in lines if page.regions[line.region] in ("main", "inner")]
-    if declared:
-        lines = declared
     if not lines:
         return ""
     own = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
-    ratio = np.log1p(smooth(own))
+    declared = np.array([page.regions[x.region] in ("main", "inner") for x in lines])
+    ratio = np.log1p(smooth(own)) + np.where(declared, np.log(PRIOR), 0)
     border = split_threshold(ratio)
-    linked: dict[int, int] = {}
-    size: dict[int, int] = {}
-    reached: dict[int, bool] = {}
+    linked: Counter[tuple] = Counter()
+    size: Counter[tuple] = Counter()
+    reached: set[int] = set()
     for line, value in zip(lines, ratio, strict=True):
-        linked[line.region] = linked.get(line.region, 0) + line.linked
-        size[line.region] = size.get(line.region, 0) + len(line.text)
-        reached[line.region] = reached.get(line.region, False) or value >= border
+        group = page.group[line.region]
+        for name in {("region", line.region), ("group", group)}:
+            linked[name] += line.linked
+            size[name] += len(line.text)
+        if value >= border:
+            reached.add(group)
 
     def content(region: int) -> bool:
-        mostly_links = 2 * linked[region] > size[region]
+        names = ("group", page.group[region]), ("region", region)
         if page.regions[region] == "main":
-            return True
-        if page.regions[region] == "inner":
-            return not mostly_links
-        return reached[region] and not mostly_links
+            names = names[:1]
+        return page.group[region] in reached and all(2 * linked[name] <= size[name] for name in names)
 
     return " ".join(x.text for x in lines if content(x.region))
 

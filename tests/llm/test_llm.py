@@ -576,6 +576,20 @@ def test_html(spark, none):
     assert html_text.extract_pages(odd.limit(0)).count() == 0
 
 
+def test_html_ratio_decides_beside_declared_regions():
+    """A small or linked box that calls itself content does not replace the article; an article keeps its short lines."""
+    body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(5))
+    for box in ("<div class='caption-text'><p>Photo</p></div>", "<div class='teaser-content'><a href=1>More of this</a></div>"):
+        got = html_text.main_text(f"<body>{box}<div>{body}<p>Short.</p></div></body>".encode())
+        assert got.startswith("word") and got.endswith("4. Short.")
+    links = "".join(f"<a href={i}>link number {i}</a> " for i in range(9))
+    page = f"<body><main>{links}</main><div>{body}</div></body>"
+    assert html_text.main_text(page.encode()).startswith("word")
+    page = f"<body><div>Hint</div><main><h1>Title</h1><section>{body}</section><p>End.</p></main></body>"
+    got = html_text.main_text(page.encode())
+    assert got.startswith("Title word") and got.endswith("End.")
+
+
 # --- 8, 10 -------------------------------------------------------------------------------------
 
 
