@@ -27,12 +27,15 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"} | BLOCKS - {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
           "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-MARK = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|"
+MARK_WORDS = (
+    r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|"
     r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|disqus|"
     r"replies|respond|sidebar|side-bar|widget|related|recommended|breadcrumbs?|menu|nav(?:bar|igation)?|footer|header|"
-    r"masthead|toolbar|pagination|pager|skip|toc|tags?|byline-share)(?:$|[-_ ]|\d)", re.I,
+    r"masthead|toolbar|pagination|pager|skip|toc|tags?|byline-share)"
 )
+#: A class or id is a mark if it begins or ends with such a word, and does not tell what the page has around it.
+MARK = re.compile(rf"{MARK_WORDS}(?:[-_\d].*)?|.*[-_]{MARK_WORDS}\d*", re.I)
+LAYOUT = re.compile(r"(?:has|with|without|no|not|is|show|hide|hides)[-_].*|.*[-_](?:fixed|sticky|open|closed|enabled|disabled|layout|wrapper|page)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MAIN_MARK = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|main)?[-_]?(?:body|content|text|article)(?:$|[-_ ])", re.I)
 
@@ -49,6 +52,8 @@ class Line:
     linked: int
     tags: int
     region: int
+    boxes: tuple[int, ...] = ()  # open elements that only look like an aside
+    main: bool = False  # inside main, article or their role
 
 
 @dataclass
@@ -56,6 +61,8 @@ class _Open:
     tag: str
     dropped: bool
     region: int
+    boxes: tuple[int, ...] = ()
+    main: bool = False
 
 
 @dataclass
@@ -71,7 +78,8 @@ class PageLines(HTMLParser):
         self.linked = self.tags = self.links_open = 0
         self.regions = ["page"]  # kind of each region; regions are numbered as they begin
         self.group = [0]  # outermost declared region around each region, or the region itself
-        self.line_region = 0
+        self.line_top = _Open("", False, 0)
+        self.boxes = 0
 
     def _top(self) -> _Open:
         return self.stack[-1] if self.stack else _Open("", False, 0)
@@ -79,7 +87,7 @@ class PageLines(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append(Line(text, self.linked, self.tags, self.line_region))
+            self.lines.append(Line(text, self.linked, self.tags, self.line_top.region, self.line_top.boxes, self.line_top.main))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -100,14 +108,18 @@ class PageLines(HTMLParser):
         self.tags += 1
         above = self._top()
         marks = {k: v or "" for k, v in attrs}
-        dropped = above.dropped or tag in HIDDEN or self._aside(tag, marks)
+        dropped = above.dropped or tag in HIDDEN or self._aside(tag, marks) or tag not in BLOCKS and self._marked(tag, marks)
         region = above.region
         kind = self._main_kind(tag, marks)
         if not dropped and (kind or tag in ("section", "div", "td", "ul", "ol", "table", "main", "article", "dl")):
             self.regions.append(kind or "inner" if self._inside_main(above) else kind or "box")
             region = len(self.regions) - 1
             self.group.append(self.group[above.region] if self._inside_main(above) else region)
-        self.stack.append(_Open(tag, dropped, region))
+        boxes = above.boxes
+        if not dropped and tag in BLOCKS and self._marked(tag, marks):
+            boxes, self.boxes = (*boxes, self.boxes), self.boxes + 1
+        role = marks.get("role", "").lower() in ("main", "article") or marks.get("itemprop", "").lower() == "articlebody"
+        self.stack.append(_Open(tag, dropped, region, boxes, above.main or tag in ("main", "article") or role))
         if tag == "a":
             self.links_open += 1
 
@@ -127,16 +139,36 @@ class PageLines(HTMLParser):
         return self.regions[above.region] in ("main", "inner")
 
     def _aside(self, tag: str, marks: dict[str, str]) -> bool:
-        if tag in ASIDE or marks.get("role", "").lower() in ROLES or "hidden" in marks:
+        if tag in ASIDE - {"form"} or marks.get("role", "").lower() in ROLES or "hidden" in marks:
             return True
         if marks.get("aria-hidden", "").lower() == "true":
             return True
         style = marks.get("style", "").replace(" ", "").lower()
         if "display:none" in style or "visibility:hidden" in style:
             return True
+        return False
+
+    def _marked(self, tag: str, marks: dict[str, str]) -> bool:
+        """Forms, and classes or ids that tell an aside. Blocks of this kind are judged by what they hold, at the end of the page."""
         if tag in ("html", "body", "main", "article") or tag in HEADINGS:
             return False
-        return any(MARK.search(CAMEL.sub("-", marks.get(name, ""))) for name in ("class", "id"))
+        names = CAMEL.sub("-", f"{marks.get('class', '')} {marks.get('id', '')}").split()
+        return tag == "form" or any(MARK.fullmatch(name) and not LAYOUT.fullmatch(name) for name in names)
+
+    def kept(self) -> list[Line]:
+        """Lines outside marked boxes. A box that holds all the main content, or most of the unlinked text of a page without, is no aside."""
+        unlinked = lambda lines: sum(max(0, len(x.text) - x.linked) for x in lines)
+        inside: dict[int, list[Line]] = {}
+        for line in self.lines:
+            for box in line.boxes:
+                inside.setdefault(box, []).append(line)
+        total, main, cleared = unlinked(self.lines), any(x.main for x in self.lines), set()
+        for box in sorted(inside):  # outer boxes first
+            if main and any(x.main and cleared.issuperset(x.boxes) for x in self.lines):
+                break
+            if any(x.main for x in inside[box]) if main else 2 * unlinked(inside[box]) > total:
+                cleared.add(box)
+        return [x for x in self.lines if cleared.issuperset(x.boxes)]
 
     def _main_kind(self, tag: str, marks: dict[str, str]) -> str:
         if tag in ("article", "main") or marks.get("role", "").lower() in ("main", "article"):
@@ -181,7 +213,7 @@ class PageLines(HTMLParser):
         if top.dropped or not data:
             return
         if not self.parts:
-            self.line_region = top.region
+            self.line_top = top
         self.parts.append(data)
         if self.links_open:
             self.linked += len(data.strip())
@@ -226,7 +258,7 @@ def main_text(html: bytes) -> str:
     while page.stack:
         page._pop()
     page.flush()
-    lines = page.lines
+    lines = page.kept()
     if not lines:
         return ""
     own = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])

@@ -590,6 +590,18 @@ def test_html_ratio_decides_beside_declared_regions():
     assert got.startswith("Title word") and got.endswith("End.")
 
 
+def test_html_wrappers_are_no_asides():
+    """Layout classes and forms around the page lose nothing; the marked boxes inside them still go."""
+    body = "".join(f"<p>{'word ' * 40}{i}.</p>" for i in range(5))
+    inner = f"<div class='ad-box'>Buy</div><div class='newsletter'>Join us</div>{{}}<div id='comments'><p>Great!</p></div>"
+    wraps = [f"<div class='{c}'>" for c in ("layout has-sidebar", "with-toc", "page-header-fixed", "no-comments", "sidebar")]
+    for wrap in [*wraps, "<form action=x>"]:
+        end = "</form>" if "form" in wrap else "</div>"
+        for main in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            got = html_text.main_text(f"<body>{wrap}{inner.format(main)}{end}</body>".encode())
+            assert got.startswith("word") and got.endswith("4."), (wrap, main[:6], got[:20])
+
+
 # --- 8, 10 -------------------------------------------------------------------------------------
 
 
