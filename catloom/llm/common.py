@@ -52,11 +52,13 @@ def arrow_schema(fields: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(","))])
 
 
-def map_batches(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable]]) -> DataFrame:
+def map_batches(
+    df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable]], batch_rows: int | None = None,
+) -> DataFrame:
     """Run ``make()`` once per task; what it returns turns an input batch into rows (tuples of ``fields``).
 
-    Memory is bounded: at most ``BATCH_ROWS`` output rows are held at a time. If the returned object
-    has a ``close`` method, its rows come last.
+    Memory is bounded: at most ``batch_rows`` (default ``BATCH_ROWS``) output rows are held at a time. If the returned
+    object has a ``close`` method, its rows come last.
     """
     schema = arrow_schema(fields)
 
@@ -69,7 +71,7 @@ def map_batches(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.Reco
             if hasattr(work, "close"):
                 yield from work.close()
 
-        yield from to_batches(rows(), schema)
+        yield from to_batches(rows(), schema, batch_rows or BATCH_ROWS)
 
     return df.mapInArrow(run, fields)
 
@@ -77,11 +79,11 @@ def map_batches(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.Reco
 BATCH_ROWS = 8192
 
 
-def to_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def to_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
-        if len(held) == BATCH_ROWS:
+        if len(held) == size:
             yield _batch(held, schema)
             held = []
     if held:
@@ -120,3 +122,31 @@ def mark_members(df: DataFrame, key: str, bitmap: DataFrame, bits: int, name: st
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.bitwise_not(byte).bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))")) == 0
     return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_place", "_b", "_bucket", "_bits")
+
+
+def bitmap_bits(keys: int) -> int:
+    """Bits for a bitmap of so many keys: 16 each, from 2^15 to 2^27 (16 MB)."""
+    return 1 << min(27, max(15, (16 * keys).bit_length()))
+
+
+# --- Rows told apart by id and text -------------------------------------------------------------
+
+
+def row_key(id: str, text: str) -> tuple[Column, Column]:
+    """_id and _h, a hash of the text: rows that share both are copies of one row."""
+    return F.col(id).cast("long").alias("_id"), F.xxhash64(text_of(text)).alias("_h")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose (_id, _h) is in ``dropped``; same columns. Rows without id stay: nothing can name them.
+
+    A bitmap of the dropped rows is tested in the scan, so only rows that may be dropped are exchanged.
+    """
+    dropped = stored(dropped.where("_id is not null").distinct())
+    bits = bitmap_bits(dropped.count())
+    key = F.xxhash64("_id", "_h")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *row_key(id, text)).withColumn("_k", key)
+    marked = mark_members(packed, "_k", key_bitmap(dropped.select(key.alias("_k")), "_k", bits), bits, "_in")
+    maybe = F.col("_in") & F.col("_id").isNotNull()
+    kept = marked.where(~maybe).select("_doc").unionByName(marked.where(maybe).join(dropped, ["_id", "_h"], "left_anti").select("_doc"))
+    return kept.select("_doc.*")

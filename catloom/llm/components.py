@@ -39,7 +39,8 @@ def _minimum(pairs: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's minimum."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = both.where("v > u").join(_minimum(both), F.col("u") == F.col("k"))
+    # Written first: then both sides of the join are exchanged, and the neighbours of a hub can be split at run time.
+    met = both.where("v > u").join(stored(_minimum(both)), F.col("u") == F.col("k"))
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catloom.llm.common import SPACE, key_bitmap, mark_members, stored, text_of
+from catloom.llm.common import SPACE, drop_rows, key_bitmap, mark_members, row_key, stored, text_of
 
 
 def normalised(text: str) -> Column:
@@ -66,6 +66,10 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; same columns. Rows without id stay."""
-    dropped = exact_dedup(docs, id, text).where("not kept").select(F.col(id).alias("_drop"))
-    return docs.join(dropped, docs[id] == dropped["_drop"], "left_anti")
+    """``docs`` without the rows that :func:`exact_dedup` drops; same columns.
+
+    Rows are told apart by id and text: another text under the id of a dropped row stays, and so do rows without id. An
+    empty table gives an empty one; texts of any length and columns of any name are left as they are.
+    """
+    marked = exact_dedup(docs, id, text, extra=[row_key(id, text)[1]])
+    return drop_rows(docs, marked.where("not kept").select(F.col(id).cast("long").alias("_id"), "_h"), id, text)

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from catloom.llm.common import SPACE, stored, text_of
+from catloom.llm.common import SPACE, drop_rows, row_key, stored, text_of
 
 #: Domains of the labels: toxic texts, texts of low quality, and the rest.
 DOMAINS = ("clean", "toxic", "low")
@@ -110,21 +110,21 @@ def domain_posteriors(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", domains: Sequence[str] = DOMAINS,
     sample_rows: int = 20_000, features: int = 64,
 ) -> DataFrame:
-    """(id, n_tokens, p_<domain> ...) of every whole text."""
+    """(id, text_key, n_tokens, p_<domain> ...) of every whole text; the key is a hash of the text."""
     constant, weights = fit_domains(docs, labels, id, text, domains, sample_rows, features)
-    rows = tokens_of(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "_text")
+    rows = tokens_of(docs.select(F.col(id).alias("_id"), row_key(id, text)[1], F.col(text).alias("_text")), "_text")
     tokens = F.array(*[F.lit(t) for t in weights]) if weights else F.array().cast("array<string>")
     # At most 3 * features distinct tokens meet the table of weights.
-    rows = rows.select("_id", "_n", F.array_intersect("_tokens", tokens).alias("_hits"))
+    rows = rows.select("_id", "_h", "_n", F.array_intersect("_tokens", tokens).alias("_hits"))
     logs = {d: F.lit(constant[i]) for i, d in enumerate(domains)}
     if weights:
         logs = {d: _sum_of("_hits", {t: w[i] for t, w in weights.items()}, constant[i]) for i, d in enumerate(domains)}
-    rows = rows.select("_id", "_n", *[c.alias(f"_l_{d}") for d, c in logs.items()])
+    rows = rows.select("_id", "_h", "_n", *[c.alias(f"_l_{d}") for d, c in logs.items()])
     top = F.greatest(*[F.col(f"_l_{d}") for d in domains])
     rows = rows.withColumn("_top", top)
     total = sum((F.exp(F.col(f"_l_{d}") - F.col("_top")) for d in domains), F.lit(0.0))
     return rows.select(
-        F.col("_id").alias(id), F.col("_n").alias("n_tokens"),
+        F.col("_id").alias(id), F.col("_h").alias("text_key"), F.col("_n").alias("n_tokens"),
         *[(F.exp(F.col(f"_l_{d}") - F.col("_top")) / total).alias(f"p_{d}") for d in domains],
     )
 
@@ -176,7 +176,7 @@ def mix(
     targets: Mapping[str, float] = TARGETS, sample_rows: int = 20_000, features: int = 64, upsample: bool = False,
     seed: str = "mix",
 ) -> DataFrame:
-    """Per row: id, n_tokens, p_<domain> ..., rate, copies.
+    """Per row: id, text_key, n_tokens, p_<domain> ..., rate, copies.
 
     ``rate`` is the expected number of copies of the document in the mixture; ``copies`` rounds it without bias by a
     hash of the id. Null and empty texts have no tokens and take the prior's posteriors; a null id is a row like any other; labels of one id
@@ -191,6 +191,10 @@ def mix(
 
 
 def keep_mixture(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that get no copy; same columns. Nothing is repeated; rows without id stay."""
-    dropped = mix(docs, labels, id, text).where("copies = 0").select(F.col(id).alias("_drop"))
-    return docs.join(dropped, docs[id] == dropped["_drop"], "left_anti")
+    """``docs`` without the rows that get no copy; same columns. Nothing is repeated.
+
+    Rows are told apart by id and text, so another text under the same id has a fate of its own; rows without id stay. An empty
+    table gives an empty one; texts of any length and columns of any name are left as they are.
+    """
+    none = mix(docs, labels, id, text).where("copies = 0")
+    return drop_rows(docs, none.select(F.col(id).cast("long").alias("_id"), F.col("text_key").alias("_h")), id, text)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from catloom.llm.common import key_bitmap, map_batches, mark_members, raw, stored
+from catloom.llm.common import map_batches, raw, stored
 from catloom.llm.components import components
 
 BITS = 64
@@ -184,13 +184,13 @@ class _Buckets:
             yield from zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)
 
 
-def _deal(filed: DataFrame, of: str, bucket_rows: int) -> DataFrame:
+def deal(filed: DataFrame, of: str, bucket_rows: int) -> DataFrame:
     """Add ``bucket`` to (key, ...): the key itself, or for a hot key one bucket per pair of chunks that the row is in."""
     hot = filed.groupBy("key").count().where(F.col("count") > bucket_rows).select(
         F.col("key").alias("_hot"), F.ceil(F.col("count") / bucket_rows).alias("_chunks")
     )
-    # At most one row per possible key, and no more than rows / bucket_rows of them.
-    filed = filed.join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left")
+    # Written first: Spark broadcasts the few hot keys if they are small, and else can split the hot side of the exchange.
+    filed = filed.join(stored(hot), F.col("key") == F.col("_hot"), "left")
     own = F.pmod(F.xxhash64(of), "_chunks")
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1), lambda c: c != own)
     place = F.transform(others, lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
@@ -213,7 +213,7 @@ def simhash_links(prints: DataFrame, radius: int = 4, pieces: int | None = None,
         mask = sum((1 << cuts[p + 1]) - (1 << cuts[p]) for p in chosen)
         keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
     filed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    filed = _deal(filed, "fp", bucket_rows)
+    filed = deal(filed, "fp", bucket_rows)
     dealt = filed.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
     return map_batches(dealt, "a long, b long", lambda: _Buckets(radius)).distinct()
 
@@ -240,314 +240,3 @@ def simhash_dedup(
     return rows.join(of, F.col("fp") == F.col("_fp")).select(
         F.col("_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-# --- Near copies by similarity: long fingerprints, whose distance estimates the share of common shingles -----------
-
-#: Bits of a long fingerprint are PIECES parts of PIECE_BITS; texts meet if they agree in one part.
-LANES, PIECES, PIECE_BITS = 7, 32, 14
-#: A similarity of 0.8 moves 15.2 percent of the bits (68 of 448, standard deviation 7.6), one of 0.6 moves 23 percent.
-WIDE_RADIUS = 80
-#: Distance of the first 64 bits up to which a pair is looked at in full; 3.8 deviations beyond the mean at 0.8.
-SIEVE_RADIUS = 20
-WIDE_TILE = 512
-_LANE_SEEDS = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def wide_fingerprint(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """``LANES`` 64-bit words: each bit is the majority over the distinct shingles, told by mixed shingle hashes.
-
-    Fewer than ``words`` words are one shingle, no words the empty one.
-    """
-    tokens = text.lower().split()
-    if len(tokens) <= words:
-        shingles = [b" ".join(tokens)]
-    else:
-        line = b" ".join(tokens)
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        shingles = [line[s:e] for s, e in zip(starts, ends[words - 1:].tolist(), strict=False)]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles)))
-    counts = np.zeros(BITS * LANES, np.int64)
-    for start in range(0, len(hashes), WIDE_CHUNK):
-        x = hashes[start:start + WIDE_CHUNK, None] + _LANE_SEEDS  # one mix of the hash for each lane
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        for at in range(0, len(bits), 255):  # sums of 255 rows fit a byte
-            counts += np.add.reduce(bits[at:at + 255], axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
-
-
-WIDE_CHUNK = 255 * 32
-
-
-def similar_pairs(left: np.ndarray, right: np.ndarray, own: bool, radius: int, sieve: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of long fingerprints within ``radius``: bit planes of the first lane sieve, the others decide."""
-    i, j = near_pairs(left[:, 0], right[:, 0], sieve, own)
-    near = np.bitwise_count(left[i] ^ right[j]).sum(axis=1, dtype=np.int64) <= radius
-    return i[near], j[near]
-
-
-def _fold_on_pivots(prints: np.ndarray, radius: int, sieve: int) -> np.ndarray:
-    """Label of each row: an earlier row that it is similar to, or itself.
-
-    Takes the first open row, and all rows similar to it, as long as that settles an eighth of the open ones; so a bucket
-    full of copies of one text costs a pass, not all of its pairs.
-    """
-    label, left = np.arange(len(prints)), np.arange(len(prints))
-    while len(left) > 1:
-        apart = np.bitwise_count(prints[left] ^ prints[left[0]])
-        near = (apart.sum(axis=1, dtype=np.int64) <= radius) & (apart[:, 0] <= sieve)
-        label[left[near]] = left[0]
-        if 8 * near.sum() < len(left):
-            break
-        left = left[~near]
-    return label
-
-
-class _WideBuckets:
-    """Cuts sorted (bucket, id, fingerprint) rows into tiles; memory is bounded by one bucket.
-
-    Small buckets share a tile, but only rows of one bucket are linked, so the links do not depend on the
-    tiles. What a tile links is folded at once: no more than one link per row leaves it.
-    """
-
-    def __init__(self, radius: int, sieve: int):
-        self.radius, self.sieve, self.held, self.rows = radius, sieve, [], 0
-        self.key = None
-
-    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        keys = batch.column(0).to_numpy()
-        if not len(keys):
-            return
-        ids = batch.column(1).to_numpy()
-        prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, LANES)
-        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])).tolist()
-        for start, end in pairwise(edges):
-            if keys[start] != self.key and self.rows + end - start > WIDE_TILE:
-                yield from self.close()
-            self.key = keys[start]
-            self.held.append((keys[start:end], ids[start:end], prints[start:end]))
-            self.rows += end - start
-
-    def close(self) -> Iterator[tuple]:
-        if self.rows > 1:
-            keys, ids, prints = (np.concatenate(part) for part in zip(*self.held, strict=True))
-
-            def pairs(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
-                i, j = similar_pairs(prints[a], prints[b], a == b, self.radius, self.sieve)
-                same = keys[a][i] == keys[b][j]
-                return i[same], j[same]
-
-            known = None
-            if keys[0] == keys[-1]:  # one bucket: its groups side by side, so that their tiles settle at once
-                known = _fold_on_pivots(prints, self.radius, self.sieve)
-                order = np.argsort(known, kind="stable")
-                ids, prints = ids[order], prints[order]
-                _, first, place = np.unique(known[order], return_index=True, return_inverse=True)
-                known = first[place]
-            label = _spanning_labels(len(ids), WIDE_TILE, pairs, known)
-            moved = np.flatnonzero(ids != ids[label])
-            yield from zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True)
-        self.held, self.rows = [], 0
-
-
-def similar_links(prints: DataFrame, radius: int = WIDE_RADIUS, sieve: int = SIEVE_RADIUS, bucket_rows: int = 8192) -> DataFrame:
-    """Links (a, b) of ids between rows (_id, fp) whose long fingerprints agree in a piece and lie within ``radius``.
-
-    At most one link per row and bucket, and all components are spanned. A bucket with more than ``bucket_rows`` rows is
-    dealt into chunks that meet two by two, as in :func:`simhash_links`.
-    """
-
-    def make():
-        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
-            ids, raws = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not ids:
-                return
-            bits = np.unpackbits(np.frombuffer(b"".join(raws), np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")
-            bits = bits.reshape(len(ids), PIECES, PIECE_BITS)
-            keys = (bits.astype(np.int64) << np.arange(PIECE_BITS)).sum(axis=2) | (np.arange(PIECES) << PIECE_BITS)
-            for row, content, own in zip(ids, raws, keys.tolist(), strict=True):
-                for key in own:
-                    yield key, row, content
-        return work
-
-    filed = map_batches(prints, "key long, id long, fp binary", make)
-    filed = _deal(filed, "id", bucket_rows)
-    dealt = filed.select("bucket", "id", "fp").repartition("bucket").sortWithinPartitions("bucket")
-    return map_batches(dealt, "a long, b long", lambda: _WideBuckets(radius, sieve)).distinct()
-
-
-def near_copies(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE_RADIUS,
-    sieve: int = SIEVE_RADIUS, bucket_rows: int = 8192,
-) -> DataFrame:
-    """(id, component_id) of the ids that are near copies of a row with a smaller id, or copies of such copies.
-
-    The distance of 448-bit fingerprints over distinct shingles of ``words`` words estimates their similarity; the
-    default ``radius`` is 1.6 deviations beyond the mean at a similarity of 0.8. Rows without id take no part;
-    rows that repeat an id share one fate. Null and empty texts are alike; an empty table gives an empty result.
-    """
-
-    def sketch():
-        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for row, content in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                yield row, wide_fingerprint(content, words).astype("<u8").tobytes()
-        return work
-
-    source = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = stored(map_batches(source, "_id long, fp binary", sketch))
-    prints = stored(rows.groupBy("fp").agg(F.min("_id").alias("_id")).select("_id", "fp"))
-    own = prints.select(F.col("_id").alias("_first"), F.col("fp").alias("_fp"))
-    equal = rows.join(own, F.col("fp") == F.col("_fp")).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
-    links = similar_links(prints, radius, sieve, bucket_rows).unionByName(equal.where("a <> b"))
-    found = components(links)
-    return found.where("node <> root").select(F.col("node").alias(id), F.col("root").alias("component_id"))
-
-
-# --- Near copies by shingles: candidates without loss, each verified -----------------------------------------------
-
-#: Counters of shingle frequencies: a fixed number, whatever the input. They only order the shingles, rare ones first.
-COUNTERS, COUNTER_ROWS = 1 << 20, 256
-
-
-def shingle_hashes(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; fewer than ``words`` words are one shingle, no words the empty one."""
-    tokens = text.lower().split()
-    line = b" ".join(tokens)
-    if len(tokens) <= words:
-        shingles = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        shingles = [line[s:e] for s, e in zip(starts, ends[words - 1:].tolist(), strict=False)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles)))
-
-
-class _Frequencies:
-    """Counts the shingles of a task in ``COUNTERS`` counters, given out as rows of binary at the end."""
-
-    def __init__(self, words: int):
-        self.words, self.counts = words, np.zeros(COUNTERS, np.int64)
-
-    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        for text in raw(batch.column(0)):
-            np.add.at(self.counts, (shingle_hashes(text, self.words) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        return iter(())
-
-    def close(self) -> Iterator[tuple]:
-        for row, part in enumerate(self.counts.reshape(COUNTER_ROWS, -1)):
-            if part.any():
-                yield row, part.astype("<i8").tobytes()
-
-
-class _SumRows:
-    """Sums the binary rows of equal number."""
-
-    def __init__(self):
-        self.sums: dict[int, np.ndarray] = {}
-
-    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        for row, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            self.sums[row] = self.sums.get(row, 0) + np.frombuffer(part, "<i8")
-        return iter(())
-
-    def close(self) -> Iterator[tuple]:
-        for row, part in self.sums.items():
-            yield row, np.minimum(part, (1 << 31) - 1).astype("<u4").tobytes()
-
-
-def _rarity(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequency of each counter: 4 MB, whatever the input."""
-    parts = map_batches(texts, "row int, counts binary", lambda: _Frequencies(words)).repartition("row")
-    out = np.zeros((COUNTER_ROWS, COUNTERS // COUNTER_ROWS), np.uint32)
-    for row, counts in map_batches(parts, "row int, counts binary", _SumRows).collect():
-        out[row] = np.frombuffer(counts, "<u4")
-    return out.reshape(-1)
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of ids whose distinct shingles have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    bits = 1 << 24
-    ids = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n")))
-    met = mark_members(rows, "_id", key_bitmap(ids, "_n", bits), bits, "_in").where("_in").select("_id", "_text")
-
-    def sets():
-        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for row, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                yield row, shingle_hashes(text, words).astype("<u8").tobytes()
-        return work
-
-    def compare():
-        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
-            columns = (column.to_pylist() for column in batch.columns)
-            for a, b, left, right in zip(*columns, strict=True):
-                left, right = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if 5 * common >= 4 * (len(left) + len(right) - common):
-                    yield a, b
-        return work
-
-    shingles = stored(map_batches(met, "_id long, _set binary", sets).distinct())
-    left = shingles.select(F.col("_id").alias("a"), F.col("_set").alias("_left"))
-    right = shingles.select(F.col("_id").alias("b"), F.col("_set").alias("_right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
-    return map_batches(joined, "a long, b long", compare).distinct()
-
-
-def jaccard_copies(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, bucket_rows: int = 2048,
-) -> DataFrame:
-    """(id, component_id) of the ids in a group with a smaller id; groups are the components of all pairs with a similarity of 0.8.
-
-    Similarity is the Jaccard index of the distinct shingles (as 64-bit hashes). With shingles in one order for all
-    texts, a pair at 0.8 shares one of the first s - ceil(0.8 s) + 1 of each side's s, so filing texts under those loses
-    no pair; the order is by rarity, so that common passages hardly ever come first. Rows of a key are first compared
-    with its smallest id; then only pairs in different groups are left to compare. Rows without id take no part; rows that
-    repeat an id share one fate.
-    """
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rarity = rows.sparkSession.sparkContext.broadcast(_rarity(rows.select("_text"), words))
-
-    def first():
-        def work(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for row, content in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                own = shingle_hashes(content, words)
-                rank = rarity.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
-                chosen = own[np.lexsort((own, rank))[:len(own) - (4 * len(own) + 4) // 5 + 1]]
-                yield row, xxhash.xxh128_digest(own.astype("<u8").tobytes()), len(own), chosen.view(np.int64).tolist()
-        return work
-
-    filed = stored(map_batches(rows, "_id long, same binary, size int, keys array<long>", first))
-    low = filed.groupBy("same").agg(F.min("_id").alias("b"))
-    equal = stored(filed.select("_id", "same").join(low, "same").where("_id <> b").select(F.col("_id").alias("a"), "b").distinct())
-    # Texts with equal shingles have equal keys: their smallest id stands for them.
-    heads = filed.groupBy("same").agg(F.min(F.struct("_id", "size", "keys")).alias("h")).select("h.*")
-    filed = heads.select("_id", "size", F.explode("keys").alias("key"))
-    lowest = filed.groupBy("key").agg(F.min(F.struct("_id", "size")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = filed.join(lowest.select("key", "low"), "key")
-    shared = stored(shared.select("key", F.col("_id").alias("id"), "size", F.col("low._id").alias("m"), F.col("low.size").alias("m_size")))
-    alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    stars = shared.where((F.col("id") != F.col("m")) & alike(F.col("size"), F.col("m_size")))
-    stars = stored(stars.select(F.col("id").alias("a"), F.col("m").alias("b")).distinct())
-    links = stored(_verified(rows, stars, words).unionByName(equal))
-
-    groups = components(links)
-    marked = shared.select("key", "id", "size").join(groups, F.col("id") == F.col("node"), "left")
-    marked = stored(marked.select("key", "id", "size", F.coalesce("root", "id").alias("label")))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("key")
-    dealt = stored(_deal(marked.join(mixed, "key"), "id", bucket_rows).select("bucket", "key", "id", "size", "label"))
-    x, y = dealt.alias("x"), dealt.alias("y")
-    open_pairs = x.join(y, ["bucket", "key"]).where(
-        (F.col("x.id") > F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.size"), F.col("y.size")))
-    open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(rows, stored(open_pairs), words)))
-    return found.where("node <> root").select(F.col("node").alias(id), F.col("root").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with one row per group of :func:`jaccard_copies`, the one with the smallest id; same columns. Rows without id stay."""
-    dropped = jaccard_copies(docs, id, text, words).select(F.col(id).alias("_drop"))
-    return docs.join(dropped, docs[id] == dropped["_drop"], "left_anti")
