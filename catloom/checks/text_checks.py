@@ -279,11 +279,8 @@ SELECT doc_id, CAST(len(d) AS INT) AS n, md5(array_to_string(d, '|')) AS digest
       SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS p FROM documents))
     GROUP BY doc_id, lower(w)) GROUP BY doc_id)""")
 def _(spark, sf):
-    # Words of a long text: rows instead of one array comparison.
-    d = table(spark, sf, "documents")
-    words = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"))).alias("pos", "w"))
-    firsts = words.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min_by("w", "pos").alias("w"), F.min("pos").alias("pos"))
-    lists = firsts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("d"))
+    words = F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"))
+    lists = table(spark, sf, "documents").select("doc_id", text.ordered_distinct(words, F.lower).alias("d")).where(F.size("d") > 0)
     return lists.select("doc_id", F.size("d").alias("n"), F.md5(F.array_join("d", "|")).alias("digest"))
 
 

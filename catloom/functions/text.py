@@ -144,12 +144,18 @@ def build_query(brand: Column | str, name: Column | str, min_length: int = 5) ->
 
 
 def ordered_distinct(values: Column, key=lambda x: x) -> Column:
-    """Keep the first element of each key, in the original order (arrays of bounded length)."""
+    """Keep the first element of each key, in the original order; a null key is a key like any other.
 
-    def firsts(state: Column) -> Column:
-        return F.filter(state["v"], lambda x, i: F.array_position(state["k"], state["k"][i]) == i + 1)
+    Elements are sorted by (key, place), those that differ from their neighbour are first of their key, and a second sort
+    restores the order: n log n steps, so arrays may be long.
+    """
+    placed = F.array_sort(F.transform(values, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("v"))))
 
-    return bind(F.struct(values.alias("v"), F.transform(values, key).alias("k")), firsts)
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(ordered, i - 1)["k"]))
+
+    restored = F.array_sort(F.transform(bind(placed, firsts), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+    return F.transform(restored, lambda x: x["v"])
 
 
 def query_variants(

@@ -10,7 +10,7 @@ from catloom import vocabulary as V
 from catloom.functions.text import match_key_compact, match_key_spaced, normalize_name, starts_with_ci, strip
 from catloom.functions.values import as_col, blank_to_null, first_set, has_amount, has_text, spread_nulls
 from catloom.operators.rank import top_per_group
-from catloom.runtime import fits_bytes
+from catloom.runtime import cut_lineage, fits_bytes
 
 
 def maybe_broadcast(dim: DataFrame) -> DataFrame:
@@ -112,25 +112,34 @@ def localized_name(df: DataFrame, name: str, brand: str, prefixes: DataFrame, ke
 # --- Pattern joins ---------------------------------------------------------------------------
 
 
+def member_words(keys: DataFrame, bits: int) -> Column:
+    """A bitmap of the hashed ``_hash`` values as one array of 64-bit words; ``bits`` bounds its size whatever the input."""
+    place = F.pmod("_hash", F.lit(bits))
+    set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    rows = keys.select(F.floor(place / 64).cast("int").alias("_word"), set_bit.alias("_bits"))
+    blank = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = rows.unionByName(blank).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda w: w["_bits"])).scalar()
+
+
+def maybe_member(hashed: Column, words: Column, bits: int) -> Column:
+    """False only if no key has this hash."""
+    place = F.pmod(hashed, F.lit(bits))
+    word = F.get(words, F.call_function("shiftright", place, F.lit(6)).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+
 def substring_join(
     left: DataFrame, right: DataFrame, text: str, pattern: str, by: Sequence[str] = (), gram: int = 3
 ) -> DataFrame:
     """All pairs where ``text`` contains ``pattern`` and the ``by`` columns agree.
 
-    "Contains" is turned into equality: a pattern is filed under its first ``gram`` characters (all
-    of them when shorter), a text is looked up under each of its substrings of that length, and
-    survivors are checked. Any pattern table size works, and no pair without a shared piece is built.
+    "Contains" is turned into equality: a pattern is filed under its rarest piece of ``gram`` characters (all of it when
+    shorter), a text is looked up under its own pieces, and survivors are checked. Which pieces have a pattern at all is
+    kept in a bitmap that grows with the patterns up to 8 MB; a text's pieces are tested against it inside their
+    array, so a row is made only where a pattern may follow. Any number of patterns works, and no pair without
+    a shared piece is built. Null and empty texts and patterns match nothing.
     """
-    size = F.length(text)
-
-    def pieces_of(width: int) -> Column:
-        starts = F.sequence(F.lit(1), size - width + 1)
-        return F.when(size >= width, F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(width))))
-
-    pieces = [pieces_of(width) for width in range(1, gram + 1)]
-    empty = F.array().cast("array<string>")
-    all_pieces = F.array_distinct(F.concat(*[F.coalesce(p, empty) for p in pieces]))
-    probes = left.withColumn("_piece", F.explode(all_pieces))
     # Each pattern is filed under its rarest piece: a beginning that many patterns share would meet too many texts.
     width = F.least(F.length(pattern), F.lit(gram))
     places = F.sequence(F.lit(1), F.length(pattern) - width + 1)
@@ -139,29 +148,47 @@ def substring_join(
     often = grams.groupBy("_piece", *by).agg(F.count("*").alias("_often"))
     rarest = grams.join(often.hint("merge"), ["_piece", *by]).groupBy(pattern, *by).agg(
         F.min_by("_piece", F.struct("_often", "_piece")).alias("_piece"))
-    filed = right.join(rarest.hint("merge"), [pattern, *by])
+    filed = cut_lineage(right.join(rarest.hint("merge"), [pattern, *by]))
+
+    known = filed.select("_piece", *by).distinct().withColumn("_hash", F.xxhash64("_piece", *by))
+    stats = known.agg(F.count("*"), F.collect_set(F.length("_piece"))).first()
+    bits = 1 << min(26, max(10, (16 * stats[0]).bit_length()))
+    words = member_words(known, bits)
+    probes = left.withColumn("_words", words)
+
+    def pieces_of(width: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - width + 1)
+        pieces = F.when(F.length(text) >= width, F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(width))))
+        return F.filter(pieces, lambda p: maybe_member(F.xxhash64(p, *[F.col(b) for b in by]), F.col("_words"), bits))
+
+    empty = F.array().cast("array<string>")
+    pieces = F.array_distinct(F.concat(empty, *[F.coalesce(pieces_of(w), empty) for w in sorted(stats[1])]))
+    probes = probes.withColumn("_piece", F.explode(pieces)).drop("_words")
     # Neither side may be broadcast on an estimate: the optimizer does not see how the pieces multiply.
     filed = F.broadcast(filed) if fits_bytes(right) else filed.hint("merge")
     joined = probes.join(filed, ["_piece", *by])
     return joined.where(F.contains(F.col(text), F.col(pattern))).drop("_piece")
 
 
-def longest_pattern_join(df: DataFrame, book: DataFrame, key: str, brand: str, name: str) -> DataFrame:
+def longest_pattern_join(
+    df: DataFrame, book: DataFrame, key: str, brand: str, name: str, carry: Sequence[str] = ()
+) -> DataFrame:
     """Best price book entry per item: exact name, else the longest pattern contained in it.
 
-    ``book``: manufacturer, pattern, price, currency, year, ord; equal lengths go to the earlier entry.
+    ``book``: manufacturer, pattern, price, currency, year, ord; equal lengths go to the earlier entry. ``carry``
+    names further columns of the book to take along.
     """
     entries = book.select(
         F.col("manufacturer").alias("_brand"), "pattern",
         F.col("price").alias("book_price"), F.col("currency").alias("book_currency"),
-        F.col("year").alias("book_year"), "ord",
+        F.col("year").alias("book_year"), "ord", *carry,
     )
     texts = df.select(F.col(key).alias("_id"), F.col(brand).alias("_brand"), F.lower(name).alias("_text"))
     hits = substring_join(texts, entries, "_text", "pattern", ["_brand"])
     rank = F.struct(
         (F.col("pattern") == F.col("_text")).alias("exact"), F.length("pattern").alias("size"), (-F.col("ord")).alias("o")
     )
-    value = F.struct("pattern", "book_price", "book_currency", "book_year")
+    value = F.struct("pattern", "book_price", "book_currency", "book_year", *carry)
     best = hits.groupBy("_id").agg(F.max_by(value, rank).alias("_best")).select("_id", "_best.*")
     return df.join(best, F.col(key) == F.col("_id"), "left").drop("_id").withColumnRenamed("pattern", "book_pattern")
 
@@ -231,41 +258,74 @@ def cross_mentions(df: DataFrame, brands: DataFrame, allowed: DataFrame, key: st
 # --- Series ----------------------------------------------------------------------------------
 
 
+def points_up_to(points: Column, x: Column) -> Column:
+    """How many of the sorted ``points`` (structs with ``p``) lie at or before ``x``, by bisection."""
+    size = F.size(points)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(points, mid)["p"] <= x
+        return F.when(s["lo"] >= s["hi"], s).otherwise(
+            F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def _nearer(at: Column, low: Column, high: Column) -> Column:
+    """The neighbour with the smaller gap, the lower one on a tie; structs (p, v), either may be null."""
+    return F.when(high.isNull() | (at - low["p"] <= high["p"] - at), low).otherwise(high)
+
+
 def nearest_asof_join(
-    df: DataFrame, series: DataFrame, on: str, at: str, value: str, name: str = "rate", matched: str = "rate_at"
+    df: DataFrame, series: DataFrame, on: str, at: str, value: str, name: str = "rate", matched: str = "rate_at",
+    folded: bool | None = None,
 ) -> DataFrame:
     """Value of the nearest point of a series, in either direction; the earlier one on a tie.
 
-    The requested (key, point) pairs are reduced to distinct ones first, so the series is merged with
-    a table no larger than the cross product of its keys and the points in use, whatever the row count.
-    Two running windows find the neighbour on each side.
+    A series of a small estimated size is folded to one sorted array per key, which every task gets; a row then finds its
+    neighbours by bisection, and the rows of ``df`` are not moved. A larger series is merged with the distinct (key, point)
+    pairs in use instead: two running windows find the neighbour on each side, and rows without a key or a
+    point stay out of the exchange. ``folded`` overrides the choice. Of equal points of a key the greatest value counts.
     """
-    asked = df.select(F.col(on), F.col(at)).where(F.col(at).isNotNull()).distinct()
-    points = series.select(F.col(on), F.col(at), F.struct(F.col(at).alias("p"), F.col(value).alias("v")).alias("_pt"))
-    stacked = points.withColumn("_ask", F.lit(False)).unionByName(
-        asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True
-    )
-    line = Window.partitionBy(on).orderBy(F.col(at), F.col("_ask"))
-    line_back = Window.partitionBy(on).orderBy(F.col(at).desc(), F.col("_ask"))
-    below = F.last("_pt", ignorenulls=True).over(line)
-    above = F.last("_pt", ignorenulls=True).over(line_back)
-    near = stacked.withColumn("_lo", below).withColumn("_hi", above).where("_ask")
-    lower_gap, upper_gap = F.col(at) - F.col("_lo.p"), F.col("_hi.p") - F.col(at)
-    pick = F.when(F.col("_hi").isNull() | (lower_gap <= upper_gap), F.col("_lo")).otherwise(F.col("_hi"))
-    answers = near.select(on, at, pick.alias("_pick")).where(F.col("_pick").isNotNull())
-    answers = answers.select(on, at, F.col("_pick.v").alias(name), F.col("_pick.p").alias(matched))
-    return df.join(answers, [on, at], "left")
+    points = series.where(F.col(on).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(on).alias("_on"), F.col(at).alias("_at"))
+    points = points.agg(F.max(value).alias("_v"))
+    if fits_bytes(series) if folded is None else folded:
+        line = F.array_sort(F.collect_list(F.struct(F.col("_at").alias("p"), F.col("_v").alias("v"))))
+        lines = points.groupBy("_on").agg(line.alias("_line"))
+        lines = lines if folded else F.broadcast(lines)
+        joined = df.join(lines, F.col(on) == F.col("_on"), "left")
+        joined = joined.withColumn("_n", F.when(F.col(at).isNotNull(), points_up_to(F.col("_line"), F.col(at))))
+        low, high = F.when(F.col("_n") > 0, F.get("_line", F.col("_n") - 1)), F.get("_line", F.col("_n"))
+        joined = joined.withColumn("_pick", _nearer(F.col(at), low, high))
+        return joined.withColumns({name: F.col("_pick.v"), matched: F.col("_pick.p")}).drop("_on", "_line", "_n", "_pick")
+
+    asked = df.select(F.col(on).alias("_on"), F.col(at).alias("_at")).where(F.col(on).isNotNull() & F.col(at).isNotNull()).distinct()
+    stacked = points.select("_on", "_at", F.struct(F.col("_at").alias("p"), F.col("_v").alias("v")).alias("_pt"), F.lit(False).alias("_ask"))
+    stacked = stacked.unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    line = Window.partitionBy("_on").orderBy("_at", "_ask")
+    back = Window.partitionBy("_on").orderBy(F.desc("_at"), "_ask")
+    near = stacked.withColumn("_lo", F.last("_pt", ignorenulls=True).over(line)).withColumn("_hi", F.last("_pt", ignorenulls=True).over(back))
+    near = near.where("_ask").withColumn("_pick", _nearer(F.col("_at"), F.col("_lo"), F.col("_hi"))).where("_pick is not null")
+    # Written first: then both sides of the join are exchanged, and a hot (key, point) can be split at run time.
+    answers = cut_lineage(near.select("_on", "_at", F.col("_pick.v").alias(name), F.col("_pick.p").alias(matched)))
+    asks = F.col(on).isNotNull() & F.col(at).isNotNull()
+    found = df.where(asks).join(answers, (F.col(on) == F.col("_on")) & (F.col(at) == F.col("_at")), "left").drop("_on", "_at")
+    none = {c: F.lit(None).cast(answers.schema[c].dataType) for c in (name, matched)}
+    return found.unionByName(df.where(~asks).withColumns(none))
 
 
 def convert_currency(df: DataFrame, fx: DataFrame, amount: str, currency: str, year: str, name: str = "usd", base: str = "USD") -> DataFrame:
     """Amount in the base currency at the rate of the nearest year; null for an unknown currency.
 
-    ``fx``: currency, year, rate (units per unit of the base currency).
+    ``fx``: currency, year, rate (units per unit of the base currency). Rows in the base currency ask for no rate.
     """
     rates = fx.select(F.col("currency").alias("_ccy"), F.col("year").alias("_year"), "rate")
-    keyed = df.withColumn("_ccy", F.upper(currency)).withColumn("_year", F.col(year))
+    own = F.upper(currency)
+    keyed = df.withColumn("_ccy", F.when(own != base, own)).withColumn("_year", F.col(year))
     joined = nearest_asof_join(keyed, rates, "_ccy", "_year", "rate", "_rate", "_rate_year")
-    usd = F.when(F.col("_ccy") == base, F.round(amount, 2)).otherwise(F.round(F.col(amount) / F.col("_rate"), 2))
+    usd = F.when(own == base, F.round(amount, 2)).otherwise(F.round(F.col(amount) / F.col("_rate"), 2))
     return joined.withColumn(name, usd).drop("_ccy", "_year", "_rate", "_rate_year")
 
 

@@ -74,8 +74,9 @@ def override_from_book(
 
     The book columns stay (book_price, book_currency, book_year) for the inflation step.
     """
-    matched = longest_pattern_join(df, book, key, brand, name)
-    priced = convert_currency(matched, fx, "book_price", "book_currency", "book_year", "_usd")
+    # The book is converted, not the items it matches.
+    entries = convert_currency(book, fx, "price", "currency", "year", "_usd")
+    priced = longest_pattern_join(df, entries, key, brand, name, carry=["_usd"])
     hit = F.col("_usd").isNotNull()
     untagged = F.col("book_price").isNull() & has_amount(value) & ~has_text(source)
     return (

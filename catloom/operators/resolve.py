@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from catloom.functions.values import as_col, has_text, nonempty, spread_nulls
 from catloom.runtime import cut_lineage
@@ -61,11 +61,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return members.unionByName(roots)
 
 
-def connect(df: DataFrame, key: str, external_id: str, seq: str, name: str = "cluster") -> DataFrame:
+def connect(df: DataFrame, key: str, external_id: str, seq: str, name: str = "cluster", leaders_too: bool = False) -> DataFrame:
     """Records joined by equal key or equal external id, transitively.
 
     The graph holds one node per distinct key and only ids that occur under several keys, so copies
-    of a record never enter the iteration. ``cluster`` is the smallest ``seq`` of the component.
+    of a record never enter the iteration. ``cluster`` is the smallest ``seq`` of the component. ``leaders_too`` adds key_leader
+    and id_leader, the first records of the same key and of the same id.
     """
     leaders = df.groupBy(key).agg(F.min(seq).alias("_lead"))
     ids = df.where(has_text(external_id)).select(external_id, key).distinct().join(leaders, key)
@@ -74,38 +75,49 @@ def connect(df: DataFrame, key: str, external_id: str, seq: str, name: str = "cl
     parts = connected_components(edges, "_lead", "_low")
     mapping = (
         leaders.join(parts, F.col("_lead") == F.col("node"), "left")
-        .select(F.col(key).alias("_key"), F.coalesce("component", "_lead").alias(name))
+        .select(F.col(key).alias("_key"), F.coalesce("component", "_lead").alias(name), F.col("_lead").alias("key_leader"))
     )
-    return df.join(mapping, F.col(key) == F.col("_key")).drop("_key")
+    joined = df.join(mapping, F.col(key) == F.col("_key")).drop("_key")
+    return link_by_external_id(joined, external_id, seq) if leaders_too else joined.drop("key_leader")
 
 
 def fuzzy_cluster(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(member, leader) of the greedy star clustering over similar pairs, smaller id first.
 
     Taken in id order, a record absorbs every later neighbour still standing, and an absorbed record
-    absorbs nothing. Equivalently: a record leads when none of its smaller neighbours leads. Each round
-    settles all records whose smaller neighbours are settled, until no edge is open. Rounds follow the
-    longest chain of neighbours in id order: few in practice, half its length at worst.
+    absorbs nothing. Equivalently: a record leads when none of its smaller neighbours leads, which is a
+    condition per neighbour. Each round settles the records whose conditions are all met or one of which is
+    broken, and contracts chains: where a neighbour hangs on a single condition of its own, the condition moves on to
+    what that one hangs on. So a path of n neighbours in id order takes about log2 n rounds.
     """
-    graph = cut_lineage(pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).distinct())
-    rest, found = graph, graph.select(F.col("a").alias("node")).limit(0)
-    while not rest.isEmpty():
-        later = rest.select(F.col("b").alias("a")).distinct()
-        leaders = rest.select("a").distinct().join(later, "a", "left_anti")
-        absorbed = rest.join(leaders, "a").select("b").distinct()
-        # Edges between records that are still undecided.
-        open_edges = cut_lineage(
-            rest.join(leaders, "a", "left_anti").join(absorbed, "b", "left_anti")
-            .join(absorbed.select(F.col("b").alias("a")), "a", "left_anti")
-        )
-        # A record whose smaller neighbours all fell keeps no edge as ``b``; without edges as ``a``
-        # either, it would be lost, so it is settled here.
-        freed = rest.join(absorbed, "b", "left_anti").select(F.col("b").alias("node")).distinct()
-        still = open_edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        settled = leaders.withColumnRenamed("a", "node").unionByName(freed.join(still, "node", "left_anti"))
-        found = found.unionByName(cut_lineage(settled.distinct()))
-        rest = open_edges
-    leaders = cut_lineage(found.distinct())
+    graph = cut_lineage(pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a < b").distinct())
+    # v leads if, for each of its rows, p leads or not as ``want`` says.
+    open_rows = graph.select(F.col("b").alias("v"), F.col("a").alias("p"), F.lit(False).alias("want"))
+    fresh = graph.select(F.col("a").alias("node"), F.lit(True).alias("leads")).limit(0)
+    found: list[DataFrame] = []
+    while not open_rows.isEmpty():
+        waiting = open_rows.select(F.col("v").alias("node")).unionByName(fresh.select("node")).distinct()
+        first = open_rows.select(F.col("p").alias("node")).distinct().join(waiting, "node", "left_anti")
+        known = cut_lineage(fresh.unionByName(first.withColumn("leads", F.lit(True))))
+        found.append(known)
+        told = open_rows.join(known, F.col("p") == F.col("node"), "left").select("v", "p", "want", "leads")
+        # Copies of a condition are one; a condition and its opposite cannot both hold.
+        told = told.groupBy("v", "p").agg(F.min("want").alias("want"), (F.min("want") != F.max("want")).alias("clash"), F.first("leads").alias("leads"))
+        broken = F.col("clash") | F.coalesce(F.col("leads") != F.col("want"), F.lit(False))
+        told = cut_lineage(told.select("v", "p", "want", broken.alias("broken"), F.col("leads").isNull().alias("open")))
+        state = cut_lineage(told.groupBy("v").agg(
+            F.bool_or("broken").alias("broken"), F.count_if("open").alias("n"), F.min_by(F.struct("p", "want"), F.when(F.col("open"), F.col("p"))).alias("only")))
+        fresh = state.where("broken or n = 0").select(F.col("v").alias("node"), (~F.col("broken")).alias("leads"))
+        chained = state.where("not broken and n = 1").select(F.col("v").alias("u"), F.col("only.p").alias("q"), F.col("only.want").alias("w"))
+        left = told.where("open").drop("broken").join(fresh.select(F.col("node").alias("v")), "v", "left_anti")
+        moved = left.join(chained, F.col("p") == F.col("u"), "left")
+        open_rows = cut_lineage(moved.select(
+            "v", F.coalesce("q", "p").alias("p"), F.when(F.col("u").isNull(), F.col("want")).otherwise(F.col("want") == F.col("w")).alias("want")).distinct())
+    leaders = graph.select(F.col("a").alias("node")).limit(0)
+    for part in found:
+        leaders = leaders.unionByName(part.where("leads").select("node"))
+    # What the last round settled is no neighbour of anything open, but may lead.
+    leaders = cut_lineage(leaders.unionByName(fresh.where("leads").select("node")).distinct())
     absorbed = graph.join(leaders.withColumnRenamed("node", "a"), "a")
     return absorbed.join(leaders.withColumnRenamed("node", "b"), "b", "left_anti").groupBy(F.col("b").alias("member")).agg(F.min("a").alias("leader"))
 
@@ -114,9 +126,13 @@ def merge_ready(pairs: DataFrame, hi: int = 90, min_length: int = 3) -> DataFram
     return pairs.where((F.col("ratio") >= hi) & (F.length("text_a") > min_length) & (F.length("text_b") > min_length))
 
 
+def in_review(lo: int = 80, hi: int = 90, min_length: int = 3) -> Column:
+    """Too similar to ignore and too different to merge."""
+    return (F.col("ratio") >= lo) & (F.col("ratio") < hi) & (F.length("text_a") > min_length)
+
+
 def review_queue(pairs: DataFrame, lo: int = 80, hi: int = 90, min_length: int = 3) -> DataFrame:
-    """Pairs too similar to ignore and too different to merge."""
-    return pairs.where((F.col("ratio") >= lo) & (F.col("ratio") < hi) & (F.length("text_a") > min_length))
+    return pairs.where(in_review(lo, hi, min_length))
 
 
 def absorb(df: DataFrame, stars: DataFrame, cluster: str) -> DataFrame:
@@ -163,17 +179,53 @@ def union_values(df: DataFrame, cluster: str, seq: str, array: str, identity: Se
     return best.select(cluster, F.col("_w._seq").alias("first_seq"), F.col("_w._pos").alias("first_pos"), value.alias("element"))
 
 
-def merge_stats(df: DataFrame, key: str, external_id: str, seq: str, outputs: DataFrame, cluster: str) -> DataFrame:
-    """Inputs, matches by kind, outputs and the share of records merged away, in one row."""
-    linked = link_by_exact_key(link_by_external_id(df, external_id, seq), key, seq)
-    by_id = F.col("id_leader").isNotNull() & (F.col("id_leader") < F.col(seq))
-    by_key = ~by_id & (F.col("key_leader") < F.col(seq))
-    ins = linked.agg(
-        F.count("*").alias("total_input"),
-        F.count_if(F.coalesce(by_id, F.lit(False))).alias("id_matches"),
-        F.count_if(F.coalesce(by_key, F.lit(False))).alias("exact_matches"),
-    )
-    total_out = outputs.select(cluster).agg(F.count("*")).scalar()
-    return ins.withColumn("total_output", total_out).withColumn(
-        "dedup_rate", F.round((1 - F.col("total_output") / F.greatest(F.col("total_input"), F.lit(1))) * 100, 1)
-    )
+class MergeStats:
+    """Counts of a merge, gathered while its jobs run: each step hands its rows through an observation, and none is run twice.
+
+    The figures are there once the observed DataFrames were computed; :meth:`frame` waits for them.
+    """
+
+    def __init__(self):
+        self.parts: list[Observation] = []
+
+    def _watch(self, df: DataFrame, *counts: Column) -> DataFrame:
+        part = Observation()
+        self.parts.append(part)
+        return df.observe(part, *counts)
+
+    def inputs(self, df: DataFrame, seq: str, id_leader: str, key_leader: str) -> DataFrame:
+        """Records with the first record of the same external id and of the same key; an id match counts before a key match."""
+        by_id = F.coalesce(F.col(id_leader) < F.col(seq), F.lit(False))
+        by_key = ~by_id & (F.col(key_leader) < F.col(seq))
+        return self._watch(df, F.count(F.lit(1)).alias("total_input"), F.count_if(by_id).alias("id_matches"), F.count_if(by_key).alias("exact_matches"))
+
+    def pairs(self, pairs: DataFrame, lo: int = 80, hi: int = 90) -> DataFrame:
+        """Similar pairs; those left to a person are counted."""
+        return self._watch(pairs, F.count_if(in_review(lo, hi)).alias("review_queue_size"))
+
+    def stars(self, stars: DataFrame) -> DataFrame:
+        """Clusters that similar names move under another one."""
+        return self._watch(stars, F.count(F.lit(1)).alias("fuzzy_matches"))
+
+    def merged(self, df: DataFrame) -> DataFrame:
+        return self._watch(df, F.count(F.lit(1)).alias("clusters"))
+
+    def filtered(self, df: DataFrame, non_retail: str, excluded: str) -> DataFrame:
+        """Merged rows with the flags of the two exclusions; a row that both would drop counts for the first."""
+        return self._watch(
+            df, F.count_if(non_retail).alias("non_retail_filtered"), F.count_if(~F.col(non_retail) & F.col(excluded)).alias("tech_filtered"))
+
+    def values(self) -> dict[str, int | float]:
+        """All counts. ``dedup_rate`` is the share of records merged away, in percent; filtered rows do not count as merged."""
+        found: dict[str, int | float] = {}
+        for part in self.parts:
+            found |= part.get
+        clusters = found.pop("clusters")
+        found["total_output"] = clusters - found.get("non_retail_filtered", 0) - found.get("tech_filtered", 0)
+        found["dedup_rate"] = round((1 - clusters / max(found["total_input"], 1)) * 100, 1)
+        return found
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        found = self.values()
+        kinds = {k: "double" if k == "dedup_rate" else "long" for k in found}
+        return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} {kinds[k]}" for k in found))

@@ -1,12 +1,13 @@
-"""Similar names inside a block, found by shared segments instead of pairing the block."""
+"""Similar names inside a block, found by shared rare grams instead of pairing the block."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from catloom.functions.values import bind
+from catloom.runtime import cut_lineage
 
 
 @F.pandas_udf(T.IntegerType())
@@ -51,81 +52,95 @@ def letter_signature(c: Column) -> Column:
     return bind(F.array_sort(F.split(c, "")), fold)
 
 
+MATCHES = 5  # common grams asked of a pair, as far as its lengths promise as many
+
+
+def gram_size(share: float) -> int:
+    """The longest grams of which ``share`` edits per character still leave a third of a text's own."""
+    return max([q for q in range(1, 6) if (2 * q - 1) * share <= 0.65], default=1)
+
+
+def edit_share(lo: int) -> float:
+    """Insertions and deletions per character of both texts up to which a ratio rounds to ``lo``."""
+    return (201 - 2 * lo) / 200
+
+
+def _edits(total: Column, lo: int) -> Column:
+    """Insertions and deletions allowed between texts of ``total`` characters, in whole numbers."""
+    return F.call_function("div", total * (201 - 2 * lo), F.lit(200)).cast("int")
+
+
+def rare_grams(texts: DataFrame, lo: int) -> DataFrame:
+    """The grams under which each text is filed: (_key, _id, _len, _sig, _pos, _single), rarest of its block first.
+
+    Grams of a text with q - 1 marks at both ends are numbered by occurrence, so they form a set of length + q - 1. A text
+    that d edits separate from another loses at most q per deletion and q - 1 per insertion, over all lengths the
+    other may have at most ``lost``; so two such texts share MATCHES of their first ``lost`` + MATCHES in any common order.
+    """
+    share = edit_share(lo)
+    q = gram_size(share)
+    marked = F.concat(F.lit("\u0002" * (q - 1)), F.col("_text"), F.lit("\u0003" * (q - 1)))
+    places = F.sequence(F.lit(1), F.col("_len") + (q - 1))
+    grams = bind(marked, lambda t: F.transform(places, lambda i: F.struct(F.substr(t, i, F.lit(q)).alias("g"), i.alias("i"))))
+
+    def numbered(ordered: Column) -> Column:
+        return bind(F.transform(ordered, lambda x: x["g"]), lambda only: F.transform(ordered, lambda x, i: F.struct(
+            x["g"].alias("g"), x["i"].alias("i"), (i + 1 - F.array_position(only, x["g"])).alias("n"))))
+
+    rows = texts.withColumn("_g", F.explode(bind(F.array_sort(grams), numbered)))
+    last = F.max(F.col("_g.n")).over(Window.partitionBy("_id", "_g.g"))
+    rows = rows.select("_id", "_len", "_sig", F.xxhash64("_block", "_g.g", "_g.n").alias("_key"), F.col("_g.i").alias("_pos"), (last == 0).alias("_single"))
+    often = rows.groupBy("_key").agg(F.count("*").alias("_often"))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_often", "_key"))
+    # As the shorter text it loses most beside one of its own length, as the longer one beside the shortest or the longest partner.
+    size, spread = F.col("_len"), 2 * share / (1 + share)
+    lost = F.floor(size * max((2 * q - 1) * share, ((2 * q - 1) * share * (2 - spread) + spread) / 2) + 1e-6)
+    ranked = rows.join(often.hint("merge"), "_key").withColumn("_rank", rank)
+    return ranked.where(F.col("_rank") <= lost + MATCHES).drop("_often", "_rank")
+
+
+def candidate_pairs(filed: DataFrame, lo: int) -> DataFrame:
+    """Pairs (_ia, _ib) of filed texts that no bound tells apart: lengths, places, letters, number of common grams."""
+    q = gram_size(edit_share(lo))
+    x = filed.select(*[F.col(c).alias(c + "x") for c in filed.columns])
+    y = filed.select(*[F.col(c).alias(c + "y") for c in filed.columns])
+    gap, total = F.col("_leny") - F.col("_lenx"), F.col("_lenx") + F.col("_leny")
+    edits = _edits(total, lo)
+    only = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    shift = F.col("_posy") - F.col("_posx")
+    # The one text's characters move right by its insertions and left by its deletions.
+    near = (shift * 2 <= edits + gap) & (shift * 2 >= gap - edits)
+    # Both sides grow with the data, so the join is a sort-merge join, which AQE splits at hot grams.
+    met = x.join(y.hint("merge"), F.col("_keyx") == F.col("_keyy")).where(
+        (F.col("_idx") < F.col("_idy")) & (F.abs(gap) <= edits) & (near | ~(F.col("_singlex") & F.col("_singley")))
+        & (only("_sigx", "_sigy") + only("_sigy", "_sigx") <= edits))
+    shorter = F.least("_lenx", "_leny")
+    parity = edits - F.pmod(edits - F.abs(gap), F.lit(2))
+    kept = shorter + (q - 1) - F.call_function("div", (2 * q - 1) * parity - F.abs(gap), F.lit(2))
+    met = met.select(F.col("_idx").alias("_ia"), F.col("_idy").alias("_ib"), F.least(F.lit(MATCHES), F.greatest(F.lit(1), kept)).cast("int").alias("_asked"))
+    return met.groupBy("_ia", "_ib", "_asked").agg(F.count("*").alias("_met")).where("_met >= _asked").select("_ia", "_ib")
+
+
 def fuzzy_pairs(df: DataFrame, block: str, text: str, key: str, lo: int = 80) -> DataFrame:
-    """Pairs of distinct texts in a block with a ratio of at least ``lo``: (block, id_a, id_b, ratio).
+    """Pairs of distinct texts in a block with a ratio of at least ``lo``: (block, id_a, id_b, text_a, text_b, ratio).
 
     Exact copies are folded first, each text standing for its smallest key; ``id_a < id_b``.
 
-    With d insertions and deletions between two texts of lengths la <= lb, the ratio reaches ``lo``
-    only if d <= t = c * (la + lb). Cut the shorter text into t + 1 segments: one of them survives
-    untouched, so it occurs in the longer text, shifted by at most the number of edits left of it
-    (and, counted from the end, right of it). Joining on (block, lengths, segment number, segment
-    text) therefore loses nothing and never pairs texts that share no segment. Candidates are
-    screened by their letters and then with the built-in edit distance; only survivors reach Python.
-    Both sides grow with the data, so the join is a sort-merge join, which AQE splits at hot pieces.
+    The ratio reaches ``lo`` only if insertions and deletions stay below a share of both lengths. Such texts have most of their
+    grams in common, so it is enough to file each under its rarest few (:func:`rare_grams`): pairs that share fewer than
+    the promised number are never similar, and nothing else is lost. Only ids, lengths, places and letter sets
+    are joined; texts are attached to distinct candidates, screened with the built-in edit distance, and only
+    survivors reach Python. Null and empty texts take no part.
     """
-    share = 1 - (lo - 0.5) / 100
     texts = df.groupBy(block, text).agg(F.min(key).alias("_id")).where(F.length(text) > 0)
     texts = texts.select(F.col(block).alias("_block"), F.col(text).alias("_text"), "_id", F.length(text).alias("_len"), letter_signature(F.col(text)).alias("_sig"))
-    # The pieces outweigh the texts many times over, so the texts are spread before they are cut up.
+    # The grams outweigh the texts many times over, so the texts are spread before they are cut up.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(tasks, "_block", "_text")
-    size = F.col("_len")
-
-    def limit(la: Column, lb: Column) -> Column:
-        return F.floor(F.round(F.lit(share) * (la + lb), 6)).cast("int")
-
-    def segment_start(la: Column, t: Column, i: Column) -> Column:
-        return F.floor((i - 1) * la / (t + 1)).cast("int") + 1
-
-    widest = F.floor(F.round(size * ((1 + share) / (1 - share)), 6)).cast("int")
-    narrowest = F.ceil(F.round(size * ((1 - share) / (1 + share)), 6)).cast("int")
-
-    filed = (
-        texts.withColumn("_lb", F.explode(F.sequence(size, widest)))
-        .withColumn("_t", limit(size, F.col("_lb")))
-        .withColumn("_seg", F.explode(F.sequence(F.lit(1), F.col("_t") + 1)))
-    )
-    start = segment_start(size, F.col("_t"), F.col("_seg"))
-    stop = segment_start(size, F.col("_t"), F.col("_seg") + 1)
-    filed = filed.select(
-        "_block", F.col("_len").alias("_la"), "_lb", "_seg", F.substr("_text", start, stop - start).alias("_piece"),
-        F.col("_text").alias("_a"), F.col("_id").alias("_ia"), F.col("_sig").alias("_sa"),
-    )
-
-    probes = (
-        texts.withColumn("_la", F.explode(F.sequence(narrowest, size)))
-        .withColumn("_t", limit(F.col("_la"), size))
-        .withColumn("_seg", F.explode(F.sequence(F.lit(1), F.col("_t") + 1)))
-        .withColumn("_start", segment_start(F.col("_la"), F.col("_t"), F.col("_seg")))
-        .withColumn("_width", segment_start(F.col("_la"), F.col("_t"), F.col("_seg") + 1) - F.col("_start"))
-    )
-    gap = size - F.col("_la")
-    left, right = F.col("_seg") - 1, F.col("_t") + 1 - F.col("_seg")
-    first = F.greatest(F.lit(1), F.col("_start") - left, F.col("_start") + gap - right)
-    last = F.least(size - F.col("_width") + 1, F.col("_start") + left, F.col("_start") + gap + right)
-    probes = probes.withColumn("_from", first).withColumn("_to", last).where("_from <= _to")
-    pieces = F.array_distinct(
-        F.transform(F.sequence("_from", "_to"), lambda p: F.substr(F.col("_text"), p, F.col("_width")))
-    )
-    probes = probes.select(
-        "_block", "_la", F.col("_len").alias("_lb"), "_seg", F.explode(pieces).alias("_piece"),
-        F.col("_text").alias("_b"), F.col("_id").alias("_ib"), F.col("_sig").alias("_sb"),
-    )
-
-    bound = F.lit(share) * (F.col("_la") + F.col("_lb")) + 1e-6
-    only = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    ordered = ((F.col("_la") < F.col("_lb")) | (F.col("_ia") < F.col("_ib"))) & (F.col("_ia") != F.col("_ib"))
-    shared = filed.join(probes.hint("merge"), ["_block", "_la", "_lb", "_seg", "_piece"]).where(ordered & (only("_sa", "_sb") + only("_sb", "_sa") <= bound))
-    near = shared.where(F.levenshtein("_a", "_b") <= bound)
-    pairs = near.select("_block", "_a", "_b", "_ia", "_ib").repartition(tasks, "_ia", "_ib").dropDuplicates(["_ia", "_ib"])
-    scored = pairs.withColumn("ratio", indel_ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= lo)
-    swap = F.col("_ia") > F.col("_ib")
-    return scored.select(
-        F.col("_block").alias(block),
-        F.least("_ia", "_ib").alias("id_a"),
-        F.greatest("_ia", "_ib").alias("id_b"),
-        F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias("text_a"),
-        F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("text_b"),
-        "ratio",
-    )
+    texts = cut_lineage(texts.repartition(tasks, "_id"))
+    pairs = candidate_pairs(cut_lineage(rare_grams(texts, lo)), lo)
+    a = texts.select("_block", F.col("_id").alias("_ia"), F.col("_text").alias("_a"))
+    b = texts.select(F.col("_id").alias("_ib"), F.col("_text").alias("_b"))
+    near = pairs.join(a, "_ia").join(b, "_ib").where(F.levenshtein("_a", "_b") <= _edits(F.length("_a") + F.length("_b"), lo))
+    scored = near.repartition(tasks, "_ia", "_ib").withColumn("ratio", indel_ratio(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= lo)
+    return scored.select(F.col("_block").alias(block), F.col("_ia").alias("id_a"), F.col("_ib").alias("id_b"),
+                         F.col("_a").alias("text_a"), F.col("_b").alias("text_b"), "ratio")

@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from catloom.functions import text
 from catloom.operators import dedup, extract, graph, joins, patch, rank, resolve, similarity, stats
 from catloom.plans import catalog
 from catloom.sources import files, publish
@@ -94,6 +95,22 @@ def test_fuzzy_pairs_against_all_pairs(spark, lo):
     assert got == want and want
 
 
+def test_fuzzy_pairs_builds_few_candidates_in_a_hot_block(spark):
+    """One block of 1,500 texts with a common beginning: candidates stay near the results, and hold ids only."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(400)]
+    texts = {f"model {rng.choice(words)} {rng.choice(words)} {rng.randrange(100)}" for _ in range(1400)}
+    texts |= {t[:9] + t[10:] for t in list(texts)[:100]}
+    rows = [(i, t, "hot") for i, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "id long, t string, b string")
+    base = df.select(F.col("b").alias("_block"), F.col("t").alias("_text"), F.col("id").alias("_id"), F.length("t").alias("_len"), similarity.letter_signature(F.col("t")).alias("_sig"))
+    filed = similarity.rare_grams(base, 90)
+    candidates = similarity.candidate_pairs(filed, 90)
+    assert candidates.columns == ["_ia", "_ib"] and "_text" not in filed.columns
+    found, n = similarity.fuzzy_pairs(df, "b", "t", "id", 90).count(), candidates.count()
+    assert found >= 100 and n <= 8 * found and n < len(rows) ** 2 / 200
+
+
 def test_fuzzy_cluster_is_the_greedy_one(spark):
     rng = random.Random(3)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(100, 112)}
@@ -108,6 +125,27 @@ def test_fuzzy_cluster_is_the_greedy_one(spark):
     assert got == leader
 
 
+def test_fuzzy_cluster_contracts_chains(spark, monkeypatch):
+    """A path of 2,000 neighbours in id order, branches and a clash at its end, in well under 20 rounds."""
+    edges = [(i, i + 1) for i in range(2000)] + [(1999, 3000), (2000, 3000), (5000, 5001), (5000, 5002), (5001, 5002)]
+    standing, leader = set(range(6000)), {}
+    nexts = {}
+    for a, b in edges:
+        nexts.setdefault(a, []).append(b)
+    for i in range(6000):
+        if i in standing:
+            for j in nexts.get(i, []):
+                if j in standing:
+                    leader[j] = i
+                    standing.discard(j)
+    cuts, cut = [], resolve.cut_lineage
+    monkeypatch.setattr(resolve, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    got = {r.member: r.leader for r in resolve.fuzzy_cluster(spark.createDataFrame(edges, "id_a long, id_b long")).collect()}
+    assert got == leader
+    assert (len(cuts) - 2) / 4 < 20  # four writes a round
+    assert resolve.fuzzy_cluster(spark.createDataFrame([], "id_a long, id_b long")).count() == 0
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(600, 640)]
@@ -352,3 +390,93 @@ def test_shared_beginnings_meet_few_texts(spark):
     texts = [(i, f"nikon nikkor {i % 60:03d}z lens") for i in range(600)]
     df = joins.substring_join(spark.createDataFrame(texts, "id int, name string"), spark.createDataFrame(pats, "p string"), "name", "p")
     assert df.count() == 600
+
+
+def test_substring_join_makes_rows_only_where_a_pattern_may_follow(spark):
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice("abcdefghij ") for _ in range(60)), "x" if i % 2 else "y") for i in range(800)]
+    patterns = [(j, "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(5, 8))), "x" if j % 2 else "y") for j in range(12)]
+    patterns += [(100, texts[3][1][10:22], "x"), (101, "ab", "y"), (102, "c", "x"), (103, "", "x"), (104, None, "x"), (105, texts[4][1][:4], "y")]
+    left = spark.createDataFrame(texts + [(900, None, "x"), (901, "", "x"), (902, "c", None)], "i int, t string, b string")
+    right = spark.createDataFrame(patterns, "j int, p string, b string")
+    for by in ([], ["b"]):
+        got = {(r.i, r.j) for r in joins.substring_join(left, right if by else right.drop("b"), "t", "p", by).collect()}
+        want = {(i, j) for i, t, b in [*texts, (902, "c", None)] for j, p, c in patterns if p and p in t and (not by or b == c)}
+        assert got == want and want
+    # All pieces of the 800 texts would be over 140,000 rows.
+    rare = right.where("length(p) >= 5")
+    df = joins.substring_join(left, rare, "t", "p", ["b"])
+    hits = df.count()
+    known = rare.count()
+    words, bits = None, 1 << max(10, (16 * known).bit_length())
+    keys = spark.createDataFrame([(h,) for h in range(0, 4000, 37)], "_hash long")
+    words = joins.member_words(keys, bits)
+    marks = spark.range(4000).withColumn("w", words).select("id", joins.maybe_member(F.col("id"), F.col("w"), bits).alias("m")).collect()
+    assert all(r.m for r in marks if r.id % 37 == 0) and not all(r.m for r in marks)
+    rows = df._jdf.queryExecution().executedPlan()
+    generated = [m for m in _metrics(rows, "Generate") if m > 0]
+    assert hits > 0 and (not generated or max(generated) < 12_000)
+
+
+def _metrics(plan, node):
+    """Output rows of the operators whose name starts with ``node``, also inside adaptive plans."""
+    found, stack = [], [plan]
+    while stack:
+        p = stack.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            stack.append(p.executedPlan())
+        elif hasattr(p, "plan") and "QueryStage" in name:
+            stack.append(p.plan())
+        if name.startswith(node) and p.metrics().contains("numOutputRows"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def slow_asof(rows, series):
+    out = {}
+    for i, k, at in rows:
+        points = sorted((abs(p - at), p, v) for c, p, v in series if c == k) if k is not None and at is not None else []
+        out[i] = (points[0][2], points[0][1]) if points else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("folded", [None, True, False])
+def test_nearest_asof_join(spark, folded):
+    rng = random.Random(5)
+    series = sorted({(c, rng.randrange(1900, 2020)) for c in ("EUR", "JPY", "GBP") for _ in range(17)} | {("ONE", 1950)})
+    series = [(c, p, float(n)) for n, (c, p) in enumerate(series)]
+    rows = [(i, rng.choice(["EUR", "EUR", "EUR", "JPY", "ONE", "none", None]), rng.choice([None, *range(1880, 2040)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, c string, y int")
+    rates = spark.createDataFrame(series, "c string, y int, r double")
+    got = {r.i: (r.rate, r.rate_at) for r in joins.nearest_asof_join(df, rates, "c", "y", "r", folded=folded).collect()}
+    assert got == slow_asof(rows, series)
+
+
+def test_currency_conversion_moves_no_fact(spark, capsys):
+    facts = spark.range(50).select("id", (F.col("id") * 2.0).alias("p"), F.when(F.col("id") % 3 == 0, "usd").when(F.col("id") % 3 == 1, "EUR").alias("c"), (F.col("id") + 1990).cast("int").alias("y"))
+    fx = spark.sql("SELECT * FROM VALUES ('EUR', 2000, 2.0D), ('EUR', 2010, 4.0D) AS t(currency, year, rate)")
+    out = joins.convert_currency(facts, fx, "p", "c", "y")
+    got = {r.id: r.usd for r in out.collect()}
+    assert got == {i: 2.0 * i if i % 3 == 0 else round(2.0 * i / (2.0 if i + 1990 <= 2005 else 4.0), 2) if i % 3 == 1 else None for i in range(50)}
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # The series is exchanged before it is broadcast; no exchange lies above the facts.
+    assert "Exchange" not in plan[plan.index("BroadcastHashJoin"):plan.index("BroadcastExchange")].replace("ShuffleQueryStage", "")
+
+
+def test_ordered_distinct_of_a_long_array(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: (i * 7919) % 30_011).alias("v"))
+    got = df.select(text.ordered_distinct(F.col("v"), lambda x: x % 20_000).alias("d")).first()["d"]
+    want, seen = [], set()
+    for i in range(1, 100_001):
+        x = i * 7919 % 30_011
+        if x % 20_000 not in seen:
+            seen.add(x % 20_000)
+            want.append(x)
+    assert got == want
+    some = spark.createDataFrame([(["b", None, "B", "a", None, "A"],), ([],), (None,)], "v array<string>")
+    assert [r["d"] for r in some.select(text.ordered_distinct(F.col("v"), F.lower).alias("d")).collect()] == [["b", None, "a"], [], None]
