@@ -64,30 +64,38 @@ def _list_pages(spark, sf):
     return pages.select("page_id", F.concat(head, "rows", F.lit("\n|}\ntext")).alias("wikitext"))
 
 
-@check("explode_tables", "", """
-SELECT l_orderkey AS page_id, 1 AS table_no, 'Maker ' || CAST(l_orderkey % 7 AS VARCHAR) AS section, 'F ' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS film,
-  CAST(CAST(l_quantity AS INT) AS VARCHAR) AS iso, l_returnflag AS note FROM lineitem""")
+ROW = "'|-' || chr(10) || '| [[Film ' || ids || '|F ' || ids || ']]' || chr(10) || '| align=right | ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' || ' || l_returnflag"
+LISTED = f"""
+WITH l AS (SELECT *, CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS ids FROM lineitem),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ROW}) AS INT) AS row_no FROM l)
+"""
+
+
+@check("explode_tables", "", f"""{LISTED}
+SELECT l_orderkey AS page_id, 1 AS table_no, row_no, 'Maker ' || CAST(l_orderkey % 7 AS VARCHAR) AS section, 'F ' || ids AS film,
+  CAST(CAST(l_quantity AS INT) AS VARCHAR) AS iso, l_returnflag AS note FROM r""")
 def _(spark, sf):
     r = extract.explode_tables(_list_pages(spark, sf), "page_id", "wikitext")
-    return r.select("page_id", "table_no", "section", F.col("cells")["Film"].alias("film"), F.col("cells")["ISO"].alias("iso"), F.col("cells")["Note"].alias("note"))
+    return r.select("page_id", "table_no", "row_no", "section", F.col("cells")["Film"].alias("film"), F.col("cells")["ISO"].alias("iso"), F.col("cells")["Note"].alias("note"))
 
 
-@check("films_from_tables", "", """
-SELECT l_orderkey AS page_id, 'F ' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS name, 'Maker ' || CAST(l_orderkey % 7 AS VARCHAR) AS brand, CAST(l_quantity AS INT) AS iso_speed FROM lineitem""")
+@check("films_from_tables", "", f"""{LISTED}
+SELECT l_orderkey AS page_id, row_no, 'F ' || ids AS name, 'Maker ' || CAST(l_orderkey % 7 AS VARCHAR) AS brand, CAST(l_quantity AS INT) AS iso_speed FROM r""")
 def _(spark, sf):
     r = extract.explode_tables(_list_pages(spark, sf), "page_id", "wikitext")
-    return extract.films_from_tables(r).select("page_id", "name", "brand", "iso_speed")
+    return extract.films_from_tables(r).select("page_id", "row_no", "name", "brand", "iso_speed")
 
 
 @check("html_table_rows", "", """
-SELECT CAST(o_custkey AS VARCHAR) AS page_key, 'Item ' || CAST(o_orderkey AS VARCHAR) AS name, '/i/' || CAST(o_orderkey AS VARCHAR) AS href, CAST(year(o_orderdate) AS VARCHAR) AS year_text, o_orderpriority AS type FROM orders""")
+SELECT CAST(o_custkey AS VARCHAR) AS page_key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS row_no, 'Item ' || CAST(o_orderkey AS VARCHAR) AS name, '/i/' || CAST(o_orderkey AS VARCHAR) AS href, CAST(year(o_orderdate) AS VARCHAR) AS year_text, o_orderpriority AS type FROM orders""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     row = F.concat(F.lit("<tr><td>"), F.year("o_orderdate").cast("string"), F.lit("</td><td><a href='/i/"), key, F.lit("'>Item "), key, F.lit("</a></td><td> "), "o_orderpriority", F.lit("</td></tr>"))
-    pages = o.groupBy("o_custkey").agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row"))))
+    pages = o.groupBy("o_custkey").agg(F.array_join(F.transform(ordered, lambda x: x["row"]), "").alias("rows"))
     html = F.concat(F.lit("<p>x</p><table><tr><th>Produced</th><th>Model</th><th>Kind</th></tr>"), "rows", F.lit("</table>"))
-    return extract.html_table_rows(pages.select("o_custkey", html.alias("html")), "o_custkey", "html").select("page_key", "name", "href", "year_text", "type")
+    return extract.html_table_rows(pages.select("o_custkey", html.alias("html")), "o_custkey", "html").select("page_key", "row_no", "name", "href", "year_text", "type")
 
 
 @check("extract_links", "", """
@@ -127,9 +135,9 @@ def _(spark, sf):
 
 
 @check("listing_cards", "listings", """
-SELECT item_id, title, price, currency FROM listings WHERE currency <> 'EUR'""")
+SELECT item_id, title, price, currency FROM listings""")
 def _(spark, sf):
-    l = view(spark, sf, "listings").where("currency <> 'EUR'")
+    l = view(spark, sf, "listings")
     card = F.struct("title", F.struct(F.col("price").cast("string").alias("value"), "currency").alias("price"))
     pages = l.select("item_id", F.to_json(F.struct(F.array(card).alias("itemSummaries"))).alias("answer"))
     return extract.listing_cards(pages, "item_id", "answer").select("item_id", "title", "price", "currency")
@@ -140,7 +148,13 @@ SELECT item_id, pos AS listing, title, CASE WHEN currency = 'USD' AND round(pric
 def _(spark, sf):
     l = view(spark, sf, "listings")
     style = F.when(F.col("currency") == "USD", F.lit("s-card__price bold")).when(F.col("currency") == "JPY", F.lit("bold strikethrough s-card__price")).otherwise(F.lit("s-card__price"))
-    html = F.concat(F.lit('<ul><li class="x s-card"><div class="s-card__title"><span>'), "title", F.lit('</span></div><span class="'), style, F.lit('">$'), F.round("price").cast("bigint").cast("string"), F.lit("</span></li></ul>"))
+    # Crossed and stray tags, hidden and secondary texts, an open item in front, and a card outside the results.
+    html = F.concat(
+        F.lit('<li class="s-card"><div class="s-card__title"><span class="su-styled-text primary">ad</span></div></li>'
+              '<div id="srp-river-results"><ul><li class="head">Results <li class="x s-card"></b><div class="s-card__title"><i><b></i>'
+              '<span class="su-styled-text primary default"><script>var x;</script>'), "title",
+        F.lit('</span></b><span class="clipped">Opens in a new window</span></div></p><span class="'), style, F.lit('">$'),
+        F.round("price").cast("bigint").cast("string"), F.lit('</span><span class="s-card__price bold">$9</span></li></ul></div>'))
     pages = l.select("item_id", F.struct("item_id", F.col("pos").alias("listing")).alias("key"), html.alias("html"))
     return extract.html_cards(pages, "key", "html").select("key.item_id", "key.listing", "title", "price")
 
@@ -192,7 +206,7 @@ def _(spark, sf):
 
 
 @check("parse_text_and_ratings", "answers", """
-SELECT event_id, 'Text ' || CAST(k AS VARCHAR) || '.' AS text, CASE WHEN event_type IN ('view', 'click') THEN greatest(1.0, least(5.0, k / 10.0)) END AS build, CASE WHEN event_type IN ('view', 'click') THEN CAST(5 AS DOUBLE) END AS worth FROM answers""")
+SELECT event_id, 'Text ' || CAST(k AS VARCHAR) || '.' || CASE WHEN event_type = 'error' THEN chr(10) || '{"buildQuality": ' || printf('%.1f', k / 10.0) || ', "value": 9, "collectibility": 3}' ELSE '' END AS text, CASE WHEN event_type IN ('view', 'click') THEN greatest(1.0, least(5.0, k / 10.0)) END AS build, CASE WHEN event_type IN ('view', 'click') THEN CAST(5 AS DOUBLE) END AS worth FROM answers""")
 def _(spark, sf):
     k = F.col("k").cast("string")
     scores = F.concat(F.lit('{"buildQuality": '), F.format_string("%.1f", F.col("k") / 10.0), F.lit(', "value": 9, "collectibility": 3'), F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit(', "historicalSignificance": 2')), F.lit("}"))
@@ -226,9 +240,14 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/done").select("page_id", "host")
 
 
-@check("file_inventory")
+@check("file_inventory", "", """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '') || chr(10)) AS digest FROM documents""")
 def _(spark, sf):
-    return files.file_inventory(spark, sf).select("name", "size", "digest")
+    # One file for each document, in a folder of its own.
+    out = work_folder(spark)
+    table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(out)
+    found = files.file_inventory(spark, out).where("name like 'part-%'")
+    return found.select(F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "size", "digest")
 
 
 @check("write_and_read_records", "items", "SELECT name, year, fmt FROM items")

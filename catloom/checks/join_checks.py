@@ -177,8 +177,7 @@ def _(spark, sf):
 @check("label_ids", "", """
 SELECT DISTINCT id FROM (SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier)""")
 def _(spark, sf):
-    c, s = table(spark, sf, "customer").select(F.col("c_nationkey").alias("id")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("id"))
-    return c.union(s).distinct()
+    return joins.union_ids((table(spark, sf, "customer"), ["c_nationkey"]), (table(spark, sf, "supplier"), ["s_nationkey"]))
 
 
 @check("with_file", "images inventory", """
@@ -218,14 +217,13 @@ def _(spark, sf):
 
 @check("rebuild_paths", "images inventory", """
 WITH f AS (SELECT path FROM inventory UNION SELECT 'p/' || CAST(item_id AS VARCHAR) || '_' || CAST(pos AS VARCHAR) || '.png' FROM images WHERE width > 25)
-SELECT status, count(*) AS n FROM (
-  SELECT CASE WHEN p IS NOT DISTINCT FROM local_path THEN 'unchanged' WHEN p IS NULL THEN 'cleared' ELSE 'set' END AS status FROM (
-    SELECT i.local_path, coalesce(a.path, b.path) AS p FROM images i LEFT JOIN f a ON a.path = i.local_path
-    LEFT JOIN f b ON b.path = 'p/' || CAST(i.item_id AS VARCHAR) || '_' || CAST(i.pos AS VARCHAR) || '.png')) GROUP BY status""")
+SELECT item_id, pos, p AS new_path, CASE WHEN p IS NOT DISTINCT FROM local_path THEN 'unchanged' WHEN p IS NULL THEN 'cleared' ELSE 'set' END AS status FROM (
+    SELECT i.item_id, i.pos, i.local_path, coalesce(a.path, b.path) AS p FROM images i LEFT JOIN f a ON a.path = i.local_path
+    LEFT JOIN f b ON b.path = 'p/' || CAST(i.item_id AS VARCHAR) || '_' || CAST(i.pos AS VARCHAR) || '.png')""")
 def _(spark, sf):
     i = view(spark, sf, "images").withColumn("png", F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("_"), F.col("pos").cast("string"), F.lit(".png"))).withColumn("jpg", F.col("local_path"))
     files = view(spark, sf, "inventory").union(i.where("width > 25").select("png"))
-    return joins.rebuild_paths(i, files, "local_path", ["jpg", "png"]).groupBy("status").agg(F.count("*").alias("n"))
+    return joins.rebuild_paths(i, files, "local_path", ["jpg", "png"]).select("item_id", "pos", "new_path", "status")
 
 
 @check("candidate_title_match", "items", """

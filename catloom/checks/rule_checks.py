@@ -146,11 +146,17 @@ def _(spark, sf):
 
 
 @check("title_matches", "listings", """
-SELECT pos, NOT ((currency = 'JPY' AND year > 2000)) AND (contains(title, 'lot') OR true) AND NOT (currency = 'EUR') AS matches FROM listings""")
+WITH t AS (SELECT pos, CASE WHEN currency = 'JPY' AND year > 2000 THEN 'foreign' WHEN currency = 'EUR' THEN 'sunset at the sea' WHEN currency = 'USD' AND year % 2 = 0 THEN lower(split_part(title, ' ', 2)) || ' only'
+    WHEN currency = 'USD' THEN lower(substr(title, length(brand) + 2)) ELSE 'own' END AS shown,
+  list_filter(string_split(trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1) AS q FROM listings)
+SELECT pos, shown = 'own' OR (shown NOT IN ('foreign', 'sunset at the sea') AND len(list_filter(q, lambda w: contains(shown, w))) >= 0.5 * len(q)) AS matches FROM t""")
 def _(spark, sf):
     shown = (
         F.when((F.col("currency") == "JPY") & (F.col("year") > 2000), F.concat("title", F.lit(" vs Nikon")))
         .when(F.col("currency") == "EUR", F.lit("Sunset at the sea"))
+        # Without the brand the share of the name's words decides.
+        .when((F.col("currency") == "USD") & (F.col("year") % 2 == 0), F.concat(F.split_part("title", F.lit(" "), F.lit(2)), F.lit(" only")))
+        .when(F.col("currency") == "USD", F.substr("title", F.length("brand") + 2))
         .otherwise(F.upper("title")))
     return view(spark, sf, "listings").select("pos", rules.title_matches(shown, "query", "brand").alias("matches"))
 
@@ -180,13 +186,14 @@ def _(spark, sf):
 @check("pick_best_image", "images", """
 SELECT item_id, arg_max(url, (s, -pos)) AS url, max(s) AS score FROM (
   SELECT item_id, pos, url, CASE WHEN source = 'archive' THEN 10 ELSE 0 END + CASE WHEN bytes / 10 > 300 AND bytes / 10 < 4000 THEN 5 ELSE 0 END + CASE WHEN width > 30 THEN 20 ELSE 0 END AS s
-  FROM images WHERE NOT (source = 'shop' AND width < 20)) GROUP BY item_id""")
+  FROM images WHERE NOT (source = 'shop' AND width < 20) AND NOT (source = 'archive' AND width = 41) AND bytes / 10 >= 1000 AND width * 4 >= 30) GROUP BY item_id""")
 def _(spark, sf):
     i = view(spark, sf, "images")
     title = F.when((F.col("source") == "shop") & (F.col("width") < 20), F.lit("Map.png")).when(F.col("width") > 30, F.lit("The_Thing_1.jpg")).otherwise(F.lit("x.jpg"))
     mime = F.when(F.col("source") == "archive", F.lit("image/jpeg")).otherwise(F.lit("image/png"))
     score = rules.photo_score(title, mime, F.col("bytes") / 10, F.lit("The Thing"))
-    usable = ~rules.contains_any(F.lower(title), V.NON_PHOTO_TITLES)
+    url = F.when((F.col("source") == "archive") & (F.col("width") == 41), F.lit("")).otherwise(F.col("url"))
+    usable = rules.usable_photo(title, url, F.col("bytes") / 10, F.col("width") * 40, 1000, 300)
     return extract.pick_best_candidate(i, "item_id", score, "url", "pos", usable)
 
 

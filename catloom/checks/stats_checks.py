@@ -6,6 +6,7 @@ from catloom.checks.base import check, define, table, view
 from catloom.functions import rules
 from catloom.functions.values import has_amount, has_text
 from catloom.operators import graph, joins, patch, rank, stats
+from catloom.runtime import work_folder
 from catloom.sources import files, publish
 from catloom.streaming import toggles
 
@@ -48,10 +49,10 @@ SELECT i.*, f.image, coalesce(f.n_images, 0) AS n_images, coalesce(f.n_sources,
 
 @check("brand_rollup", "shown", """
 SELECT brand, count(*) AS item_count, arg_min(coalesce(country, ''), item_id) AS country, arg_max(image, (h, -item_id)) AS hero_image, min(year) AS year_start, max(year) AS year_end
-FROM (SELECT *, CASE WHEN scraped THEN 30 ELSE 0 END + CASE WHEN external_id IS NOT NULL THEN 10 ELSE 0 END + length(coalesce(description, '')) AS h FROM shown WHERE image IS NOT NULL AND size > 3)
+FROM (SELECT *, CASE WHEN scraped THEN 30 ELSE 0 END + CASE WHEN external_id IS NOT NULL THEN 10 ELSE 0 END + length(coalesce(description, '')) AS h FROM shown WHERE image IS NOT NULL)
 GROUP BY brand HAVING count(*) >= 40""")
 def _(spark, sf):
-    s = _item_images(spark, sf).where("size > 3")
+    s = _item_images(spark, sf)
     hero = stats.hero_score("sources", "external_id", "description", "flickr_scrape")
     return stats.brand_rollup(s, "brand", "item_id", "country", "year", "image", hero, 40)
 
@@ -151,10 +152,11 @@ def _(spark, sf):
 
 
 @check("normalization_issues", "keyed", """
-SELECT seq, brand FROM (SELECT seq, CASE WHEN source_rank = 2 THEN brand WHEN part_id % 2 = 0 THEN brand ELSE brand || '.' END AS brand, source_rank, canonical FROM keyed) WHERE source_rank = 2 OR brand LIKE '%.'""")
+SELECT seq, brand FROM (SELECT seq, part_id, CASE WHEN source_rank = 2 THEN brand WHEN part_id % 2 = 0 THEN brand ELSE brand || '.' END AS brand FROM keyed) WHERE brand LIKE '%.' AND part_id % 3 = 0""")
 def _(spark, sf):
     k = view(spark, sf, "keyed").withColumn("brand", F.when((F.col("source_rank") == 2) | (F.col("part_id") % 2 == 0), F.col("brand")).otherwise(F.concat("brand", F.lit("."))))
-    return stats.normalization_issues(k, "brand", "brand").select("seq", "brand")
+    k = k.withColumn("normal", F.when(F.col("part_id") % 3 == 0, F.col("brand")).otherwise(F.col("canonical")))
+    return stats.normalization_issues(k, "brand", "normal").select("seq", "brand")
 
 
 @check("audit_summary", "items", """
@@ -300,13 +302,21 @@ def _(spark, sf):
 
 
 @check("read_source_records", "records", """
-SELECT source, source_rank, count(*) AS n, min(name) AS first_name, max(seq) AS last_seq FROM records GROUP BY ALL""")
-def _(spark, sf):
-    frames = [view(spark, sf, "records").where(f"source_rank = {k}").drop("fmt" if k else "alt_id") for k in (0, 1, 2)]
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged.groupBy("source", "source_rank").agg(F.count("*").alias("n"), F.min("name").alias("first_name"), F.max("seq").alias("last_seq"))
+SELECT source AS source_name, source_rank, count(*) AS n, min(name) AS first_name, count(fmt) AS with_format, source_rank * 72057594037927936 + count(*) - 1 AS last_seq, count(*) AS places FROM records GROUP BY source, source_rank""")
+def _(spark, sf):
+    out = work_folder(spark)
+    r = view(spark, sf, "records")
+    for source in ("registry", "market", "archive"):
+        rows = r.where(F.col("source") == source).select("name", F.col("brand").alias("manufacturer"), F.col("fmt").alias("film_format"), F.col("year_from").alias("year_introduced"))
+        files.write_records(rows, out, source, "cameras")
+    back = files.read_source_records(spark, out, ["registry", "absent", "market", "archive"], "cameras", multiline=False)
+    # The source without a file keeps its rank.
+    rank = F.when(F.col("source_rank") > 1, F.col("source_rank") - 1).otherwise(F.col("source_rank"))
+    shift = (F.col("source_rank") - rank).cast("long") * (1 << 56)
+    return back.groupBy("source_name", rank.alias("source_rank"), shift.alias("_s")).agg(
+        F.count("*").alias("n"), F.min("name").alias("first_name"), F.count("film_format").alias("with_format"),
+        F.max("seq").alias("_last"), F.count_distinct("seq").alias("places")
+    ).select("source_name", "source_rank", "n", "first_name", "with_format", (F.col("_last") - F.col("_s")).alias("last_seq"), "places")
 
 
 @check("export_landing", "items", """

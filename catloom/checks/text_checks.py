@@ -156,7 +156,10 @@ SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority,
   CASE WHEN o_orderstatus = 'F' THEN 'c' || CAST(year(o_orderdate) - 40 AS STRING) || '-' || CAST(year(o_orderdate) AS STRING) || '. Built'
        WHEN o_orderstatus = 'O' THEN 'c.' || CAST(year(o_orderdate) AS STRING) || '. Box'
        ELSE CAST(year(o_orderdate) - 190 AS STRING) || 's. Folding' END AS head,
-  CASE WHEN o_orderstatus = 'F' THEN 'It was introduced in ' || CAST(year(o_orderdate) AS STRING) || ' and sold until 2009'
+  CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'Its run from ' || CAST(year(o_orderdate) - 3 AS STRING) || ' to ' || CAST(year(o_orderdate) AS STRING) || ' was long'
+       WHEN o_orderpriority = '1-URGENT' THEN 'Seen 1720 - 1730, then ' || CAST(year(o_orderdate) AS STRING) || '–' || CAST(year(o_orderdate) + 2 AS STRING)
+       WHEN o_orderpriority = '2-HIGH' THEN 'Years ' || CAST(year(o_orderdate) AS STRING) || ' – ' || CAST(year(o_orderdate) + 9 AS STRING) || '.'
+       WHEN o_orderstatus = 'F' THEN 'It was introduced in ' || CAST(year(o_orderdate) AS STRING) || ' and sold until 2009'
        WHEN o_orderstatus = 'O' THEN 'Sold from ' || CAST(year(o_orderdate) AS STRING) || ' to ' || CAST(year(o_orderdate) + 4 AS STRING)
        ELSE 'The 1987 model, like the ' || CAST(year(o_orderdate) - 60 AS STRING) || ' one' END AS prose
 FROM {orders}
@@ -178,8 +181,8 @@ def _(spark, sf):
 
 
 @check("parse_year_in_prose", "year_texts", """
-SELECT o_orderkey, CASE WHEN prose LIKE 'The 1987%' THEN least(1987, y - 60) ELSE y END AS year_from,
-       CASE WHEN prose LIKE 'The 1987%' THEN NULL WHEN prose LIKE 'It was%' THEN NULL ELSE NULL END AS year_to FROM year_texts""")
+SELECT o_orderkey, CASE WHEN prose LIKE 'The 1987%' THEN least(1987, y - 60) WHEN prose LIKE 'Its run%' THEN y - 3 ELSE y END AS year_from,
+       CASE WHEN prose LIKE 'Its run%' THEN y WHEN prose LIKE 'Years%' THEN y + 9 END AS year_to FROM year_texts""")
 def _(spark, sf):
     return view(spark, sf, "year_texts").select("o_orderkey", parse.year_in_prose("prose").alias("y")).select("o_orderkey", "y.*")
 

@@ -310,6 +310,16 @@ def photo_score(title: Column | str, mime: Column | str, width: Column | str, na
     )
 
 
+def usable_photo(
+    title: Column | str, url: Column | str, width: Column | str, height: Column | str, min_width: int = 100, min_height: int = 100,
+    topics: Sequence[str] = V.NON_PHOTO_TITLES,
+) -> Column:
+    """A candidate with a url, of at least the smallest size, whose title names no drawing; unknown sizes are too small."""
+    large = lambda size, least: F.coalesce(as_col(size) >= least, F.lit(False))
+    drawn = contains_any(F.coalesce(F.lower(as_col(title)), F.lit("")), topics)
+    return has_text(url) & large(width, min_width) & large(height, min_height) & ~drawn
+
+
 def logo_score(title: Column | str, mime: Column | str) -> Column:
     low = F.lower(as_col(title))
     vector = (as_col(mime) == "image/svg+xml") | F.endswith(low, F.lit(".svg"))

@@ -16,6 +16,7 @@ from catloom.functions.rules import type_from_markup
 from catloom.functions.text import ordered_distinct, split_list, squeeze, strip, upscale_url
 from catloom.functions.values import as_col, bind, blank_to_null, case_when, compute_once, first_set
 from catloom.operators.joins import convert_currency
+from catloom.operators.markup import Field, Mark, card_fields
 
 # --- Wiki templates --------------------------------------------------------------------------
 
@@ -409,18 +410,26 @@ def listing_cards(df: DataFrame, key: str, answer: str) -> DataFrame:
     )
 
 
+# Where a results page keeps its listings, their titles and their prices.
+RESULTS = Mark("div", id="srp-river-results")
+LISTING = Mark("li", parts=("s-card",))
+LISTING_PRICE = Mark("span", classes=("s-card__price",))
+LISTING_FIELDS = (
+    Field("title", (Mark("div", classes=("s-card__title",)), Mark("span", parts=("primary", "su-styled-text")))),
+    Field("price_text", (LISTING_PRICE,)),
+    Field("price_style", (LISTING_PRICE,), "class"),
+)
+
+
 def html_cards(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, title, price) of a results page: only bold, not struck-through prices count as sold."""
-    chunks = F.split(F.col(html), r'(?=<li[^>]*class="[^"]*s-card)')
-    chunks = F.slice(chunks, F.lit(2), F.size(chunks))
-    rows = df.select(F.col(key), F.posexplode(chunks).alias("pos", "_card"))
-    card = F.col("_card")
-    rows = rows.select(F.col(key), "pos", "_card")
-    title = visible_text(F.regexp_extract(card, r'(?s)<div[^>]*class="[^"]*s-card__title[^"]*"[^>]*>(.*?)</div>', 1))
-    span = r'(?s)<span[^>]*class="([^"]*s-card__price[^"]*)"[^>]*>(.*?)</span>'
-    parts = compute_once(rows, title=title, _style=F.regexp_extract(card, span, 1), _text=visible_text(F.regexp_extract(card, span, 2)))
-    sold = F.contains("_style", F.lit("bold")) & ~F.contains("_style", F.lit("strikethrough"))
-    return parts.where("title != ''").select(key, "pos", "title", F.when(sold, price("_text")).alias("price"))
+    """(key, pos, title, price) of a results page: only bold, not struck-through prices count as sold.
+
+    Cards outside the results container and cards without a primary title are left out.
+    """
+    cards = card_fields(df, key, html, LISTING, LISTING_FIELDS, RESULTS).where("title != ''")
+    style = F.coalesce("price_style", F.lit(""))
+    sold = F.contains(style, F.lit("bold")) & ~F.contains(style, F.lit("strikethrough"))
+    return cards.select(key, "pos", "title", F.when(sold, price("price_text")).alias("price"))
 
 
 MEDIA_SCHEMA = "array<struct<type:string,content:string,thumbnail:string>>"
@@ -473,26 +482,26 @@ def parse_label_answers(df: DataFrame, key: str, answer: str, valid: Sequence[st
 def parse_text_and_ratings(df: DataFrame, key: str, answer: str, names: Sequence[str] = V.RATING_NAMES) -> DataFrame:
     """(key, text, ratings): description before the rating object, scores clamped to 1..5.
 
-    One missing or unreadable score drops all of them.
+    One missing or unreadable score drops all of them. A labelled object always ends the text; a bare one only
+    if it holds all scores, otherwise it is taken for a part of the text.
     """
-    col = F.col(answer)
-    labelled = F.regexp_extract(col, r"RATINGS:\s*(\{[^}]+\})", 1)
-    bare = F.regexp_extract(col, rf'(\{{[^{{}}]*"{names[0]}"[^{{}}]*\}})', 1)
-    has_label = labelled != ""
-    found = F.when(has_label, labelled).when(bare != "", bare)
-    text = F.when(has_label, F.regexp_replace(col, r"(?s)RATINGS:\s*\{[^}]+\}.*$", "")).when(
-        bare != "", F.left(col, F.instr(col, bare) - 1)
-    ).otherwise(col)
-    for tail in (r"(?s)\n*RATINGS:.*$", r"(?s)\n*```json\s*\{.*$", r"\n*```\s*$"):
-        text = F.regexp_replace(text, tail, "")
-    values = F.from_json(found, "map<string,string>")
-    scores = [F.try_element_at(values, F.lit(n)).try_cast("double") for n in names]
+    labelled = F.regexp_extract("_answer", V.LABELLED_RATINGS, 1)
+    bare = F.regexp_extract("_answer", rf'(\{{[^{{}}]*"{names[0]}"[^{{}}]*\}})', 1)
+    parts = compute_once(df.select(F.col(key), F.col(answer).alias("_answer")), _labelled=labelled, _bare=bare)
+    has_label = F.col("_labelled") != ""
+    values = F.from_json(F.when(has_label, F.col("_labelled")).otherwise(blank_to_null("_bare")), "map<string,string>")
+    parts = compute_once(parts, _values=values)
+    scores = [F.try_element_at("_values", F.lit(n)).try_cast("double") for n in names]
     complete = scores[0].isNotNull()
     for score in scores[1:]:
         complete = complete & score.isNotNull()
+    end = F.when(has_label, F.regexp_instr("_answer", F.lit(V.LABELLED_RATINGS))).when(complete, F.instr("_answer", F.col("_bare")))
+    text = F.coalesce(F.left("_answer", end - 1), F.col("_answer"))
+    for tail in V.RATING_TAILS:
+        text = F.regexp_replace(text, tail, "")
     clamp = lambda s: F.round(F.greatest(F.lit(1.0), F.least(F.lit(5.0), s)), 1)
     ratings = F.struct(*[clamp(s).alias(n) for n, s in zip(names, scores)])
-    return df.select(F.col(key), strip(text).alias("text"), F.when(complete, ratings).alias("ratings"))
+    return parts.select(F.col(key), strip(text).alias("text"), F.when(complete, ratings).alias("ratings"))
 
 
 # --- Candidates ------------------------------------------------------------------------------

@@ -378,6 +378,18 @@ def resolve_labels(df: DataFrame, columns: Sequence[str], labels: DataFrame) ->
     return df
 
 
+def union_ids(*sources: tuple[DataFrame, Sequence[str]]) -> DataFrame:
+    """(id): every id that occurs in one of the named columns of the tables, once; empty ids are left out.
+
+    Copies are dropped before they are moved, so each column costs its distinct ids.
+    """
+    parts = [df.select(F.col(c).alias("id")) for df, columns in sources for c in columns]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged.where(F.col("id").isNotNull() & (F.col("id").cast("string") != "")).distinct()
+
+
 def candidate_title_match(df: DataFrame, titles: DataFrame, key: str, brand: str, name: str) -> DataFrame:
     """Article title per item: name variants tried in order against normalized titles.
 

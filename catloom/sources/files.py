@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import os
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from catloom.operators.rank import rank_rows
+from catloom.runtime import cut_lineage
 from catloom.sources.schemas import ENTITIES
 
 
@@ -51,17 +57,71 @@ def write_catalog(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+CHUNK = 1 << 20
+
+
+def _locate(path: str) -> tuple[FileSystem, str]:
+    """The file system that a path names, and the path in it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return LocalFileSystem(), "/" + rest.lstrip("/")
+    return FileSystem.from_uri(quote(path, safe="/:@=+,"))
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each folder; a folder that is gone has none."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            system, inner = _locate(folder)
+            entries = system.get_file_info(FileSelector(inner, allow_not_found=True))
+            entries = [e for e in entries if e.type in (FileType.File, FileType.Directory)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{folder.rstrip('/')}/{e.base_name}" for e in entries], pa.string()), pa.array([e.base_name for e in entries], pa.string()),
+                    pa.array([e.size if e.is_file else None for e in entries], pa.int64()), pa.array([e.mtime for e in entries], pa.timestamp("us", tz="UTC")),
+                ], names=["path", "name", "size", "modified"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MD5 of each file, read in chunks; a file that is gone has none."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.md5(usedforsecurity=False)
+            system, inner = _locate(path)
+            try:
+                with system.open_input_stream(inner) as stream:
+                    while chunk := stream.read(CHUNK):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            except FileNotFoundError:
+                found.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "digest"])
+
+
 def file_inventory(spark: SparkSession, root: str, ignore: Sequence[str] = (".DS_Store",), digest: bool = True) -> DataFrame:
-    """path, name, size, modified and MD5 of every file below ``root``.
+    """path, name, size, modified and MD5 of every file below ``root``, empty and hidden ones included.
 
-    Without ``digest`` the content column is pruned and only the listing is read.
+    Tasks list folders level by level, so the driver never holds the names, and then digest their files chunk by chunk, so
+    a file may be larger than the memory. ``digest`` may be left out. Works on the file systems that Arrow opens (local, HDFS,
+    S3, GCS); a path without a scheme belongs to the default one.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    columns = ["path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
-    if digest:
-        columns.append(F.md5("content").alias("digest"))
-    return files.select(*columns).where(~F.col("name").isin(list(ignore)))
+    if ":" not in root:
+        base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        root = ("file:" if base.startswith("file:") else base.rstrip("/")) + os.path.abspath(root)
+    entries = "path string, name string, size long, modified timestamp"
+    folders = spark.createDataFrame([(root,)], "path string")
+    levels: list[DataFrame] = []
+    while not folders.isEmpty():
+        levels.append(cut_lineage(folders.repartition("path").mapInArrow(_children, entries)))
+        folders = levels[-1].where("size is null").select("path")
+    listed = spark.createDataFrame([], entries)
+    for level in levels:
+        listed = listed.unionByName(level.where("size is not null"))
+    listed = listed.where(~F.col("name").isin(list(ignore)))
+    if not digest:
+        return listed
+    return listed.repartition("path").mapInArrow(_digests, entries + ", digest string")
 
 
 def read_dimension(spark: SparkSession, path: str, columns: str) -> DataFrame:
