@@ -227,8 +227,8 @@ def _(spark, sf):
     events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     rows = toggles.toggle_rows(events, {"click": "favorites", "purchase": "owned", "view": "wishlist"}, F.col("event_id") % 50)
     out = work_folder(spark)
-    toggles.stream_membership(rows, f"{out}/lists", f"{out}/state").awaitTermination()
-    return toggles.latest_membership(spark.read.parquet(f"{out}/lists"))
+    toggles.stream_membership(rows, f"{out}/lists", f"{out}/state", compact_every=1).awaitTermination()
+    return toggles.SavedLists(spark, f"{out}/lists").lists()
 
 
 @check("stream_new_items", "", "SELECT page_id, lower(regexp_extract(url, '//([^/]+)', 1)) AS host FROM pages")

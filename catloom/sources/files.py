@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from catloom.operators.rank import rank_rows
 from catloom.runtime import cut_lineage
+from catloom.sources.json_array import read_json_array
 from catloom.sources.schemas import ENTITIES
 
 
@@ -21,27 +22,29 @@ def read_source_records(spark: SparkSession, root: str, sources: Sequence[str],
     """Records of all sources in priority order; a missing file counts as empty.
 
     Adds source_name, source_rank and seq, a total order by rank, file and position in it, whatever
-    the cores and split sizes. JSON
-    arrays need ``multiline``, which reads one file per task; large feeds are written as JSON lines
-    (``write_records``) and read with ``multiline=False``, split like any text.
+    the cores and split sizes. JSON arrays need ``multiline``, which cuts them into objects by :func:`read_json_array`; JSON
+    lines (``write_records``) are read with ``multiline=False``. Both are split over tasks like any text.
     """
     schema = ENTITIES[entity]
     merged = spark.createDataFrame([], schema).select("*", F.lit("").alias("source_name"), F.lit(0).alias("source_rank"), F.lit(0).cast("long").alias("seq"))
     for rank, source in enumerate(sources):
+        path = f"{root}/{source}/{entity}*"
         try:
-            rows = spark.read.schema(schema).option("multiLine", multiline).json(f"{root}/{source}/{entity}*")
+            if multiline:
+                placed = read_json_array(spark, path, schema).withColumnRenamed("_at", "_row")
+            else:
+                rows = spark.read.schema(schema).json(path)
+                # Blocks of a file and rows of a block come in file order however the file is split.
+                placed = rows.select(
+                    "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                    F.monotonically_increasing_id().alias("_row"))
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        # Blocks of a file and rows of a block come in file order however the file is split.
-        placed = rows.select(
-            "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
         ranked = rank_rows(placed, [F.col("_path"), F.col("_block"), F.col("_row")], name="_place")
         tagged = ranked.select(
-            *rows.columns, F.lit(source).alias("source_name"), F.lit(rank).alias("source_rank"),
+            *schema.names, F.lit(source).alias("source_name"), F.lit(rank).alias("source_rank"),
             (F.lit(rank).cast("long") * F.lit(1 << 56) + F.col("_place") - 1).alias("seq"),
         )
         merged = merged.unionByName(tagged)

@@ -312,7 +312,7 @@ def test_streamed_lists_equal_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         toggles.stream_membership(toggles.toggle_rows(stream, lists, F.col("item")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    live = {tuple(r) for r in toggles.latest_membership(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    live = {tuple(r) for r in toggles.SavedLists(spark, str(tmp_path / "out")).lists().collect()}
     batch = {tuple(r) for r in toggles.membership(toggles.fold_toggles(toggles.toggle_rows(spark.createDataFrame(events, schema), lists, F.col("item")))).collect()}
     assert live == batch == {(1, "favorites", 5), (3, "owned", 9)}
 
@@ -392,6 +392,30 @@ def test_shared_beginnings_meet_few_texts(spark):
     assert df.count() == 600
 
 
+def test_saved_lists_compact_and_repeat(spark, tmp_path):
+    """Folders stay few whatever the batches, a repeated batch changes nothing, and keys off their list are gone."""
+    rng = random.Random(6)
+    path = str(tmp_path / "lists")
+    saved = toggles.SavedLists(spark, path, compact_every=4)
+    with pytest.raises(FileNotFoundError):
+        saved.lists()
+    on = set()
+    for number in range(11):
+        rows = [(rng.randrange(3), rng.choice("ab"), rng.randrange(4)) for _ in range(12)]
+        for row in rows:
+            on ^= {row}
+        batch = spark.createDataFrame(rows, "user_id int, list_name string, item_id int")
+        saved.save(batch, number)
+        if number in (2, 3, 7, 9):  # run again, also after its compaction
+            saved.save(batch, number)
+        folders = [p.name for p in (tmp_path / "lists").iterdir()]
+        assert len(folders) <= 4 and sum(f.startswith("base=") for f in folders) <= 1
+    assert {tuple(r) for r in saved.lists().collect()} == on
+    saved.compact(10)
+    base = spark.read.parquet(f"{path}/base=10")
+    assert base.count() == len(on) and {tuple(r) for r in toggles.SavedLists(spark, path).lists().collect()} == on
+
+
 def test_substring_join_makes_rows_only_where_a_pattern_may_follow(spark):
     rng = random.Random(2)
     texts = [(i, "".join(rng.choice("abcdefghij ") for _ in range(60)), "x" if i % 2 else "y") for i in range(800)]
