@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from catloom.llm.common import map_batches, task_number
-from catloom.llm.tokens import encoder, texts, vocabulary_path
+from catloom.llm.tokens import CACHE_WORDS, encoder, texts, vocabulary_path
 
 #: Costs in padding tokens: a cut between sentences of one document, and a cut inside a sentence.
 SENTENCE_CUT = 2.0
@@ -100,8 +100,8 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> list[int]
 class Packer:
     """Takes documents in order, emits pieces. Holds at most one plan and the document that crosses it."""
 
-    def __init__(self, path: str, size: int, end_id: int):
-        self.encoder = encoder(path)
+    def __init__(self, path: str, size: int, end_id: int, cache_words: int = CACHE_WORDS):
+        self.encoder = encoder(path, cache_words)
         self.size, self.end_id = size, end_id
         tokens = [self.encoder.tokenizer.id_to_token(i) or "" for i in range(self.encoder.size)]
         breaks = self.encoder.alphabet[10]
@@ -155,13 +155,16 @@ class Packer:
 
 def pack_documents(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1024, path: str | None = None, end_id: int = 0,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
     Documents are packed in the order of the input, task by task and without a shuffle; sequence_id is
     unique over all tasks (task number, then a count) and the same when a task runs again. Every
     document ends with ``end_id``, so a null or empty text is one token. A repeated row is packed again. The
-    padding of a sequence is :func:`padding` of sequence_tokens. ``size`` must be a power of two.
+    padding of a sequence is :func:`padding` of sequence_tokens. ``size`` must be a power of two. A worker keeps the ids of
+    ``cache_words`` words (about 270 bytes each), which changes its memory and speed, but no result. Cuts are best within a plan
+    of PLAN_TOKENS tokens of a task.
     """
     path = path or vocabulary_path()
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
@@ -169,4 +172,4 @@ def pack_documents(
         "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
         "sequence_tokens long"
     )
-    return map_batches(rows, fields, lambda: Packer(path, size, end_id)).withColumnRenamed("_id", id)
+    return map_batches(rows, fields, lambda: Packer(path, size, end_id, cache_words)).withColumnRenamed("_id", id)

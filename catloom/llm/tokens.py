@@ -111,14 +111,14 @@ class Encoder:
         return np.frombuffer(self.packed(text), self.dtype)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """One per worker process, so that words stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, cache_words) not in _ENCODERS:
+        _ENCODERS[path, cache_words] = Encoder(path, cache_words)
+    return _ENCODERS[path, cache_words]
 
 
 def texts(column) -> list[str]:
