@@ -62,8 +62,3 @@ def export_sitemap(base: str, brands: DataFrame, brand: str, details: DataFrame,
 def id_collisions(items: DataFrame, short: str, key: str) -> DataFrame:
     """Short ids that several items share; a keyed document store would overwrite all but one."""
     return items.groupBy(short).agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).where("n > 1")
-
-
-def write_pages(df: DataFrame, path: str) -> None:
-    """One JSON line per row, written by all tasks at once."""
-    df.write.mode("overwrite").option("ignoreNullFields", True).json(path)
