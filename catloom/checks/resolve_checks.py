@@ -117,7 +117,7 @@ def _(spark, sf):
 
 # The greedy clustering record by record: one leads unless a smaller neighbour leads. {m} holds the pairs to merge.
 GREEDY = """
-o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, list(a) FILTER (a IS NOT NULL) AS smaller
+o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS rn, list(a) FILTER (a IS NOT NULL) AS smaller
   FROM (SELECT id_b AS id, id_a AS a FROM m UNION ALL SELECT id_a, NULL FROM m) GROUP BY id),
 grown(rn, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT o.rn, CASE WHEN list_has_any(coalesce(o.smaller, []), grown.leaders) THEN grown.leaders ELSE list_append(grown.leaders, o.id) END FROM grown JOIN o ON o.rn = grown.rn + 1 /*recursive*/),
@@ -127,7 +127,7 @@ s AS (SELECT id_b AS member, min(id_a) AS leader FROM m WHERE id_a IN (SELECT id
 
 
 @check("fuzzy_cluster", "items", f"""
-WITH {FUZZY}, {SCORED}, m AS (SELECT id_a, id_b FROM r WHERE ratio >= 90 AND length(ta) > 3 AND length(tb) > 3), {GREEDY} SELECT member, leader FROM s""")
+WITH {FUZZY}, {SCORED}, m AS MATERIALIZED (SELECT id_a, id_b FROM r WHERE ratio >= 90 AND length(ta) > 3 AND length(tb) > 3), {GREEDY} SELECT member, leader FROM s""")
 def _(spark, sf):
     return resolve.fuzzy_cluster(resolve.merge_ready(_pairs(spark, sf)))
 
@@ -162,7 +162,7 @@ t AS (SELECT comp AS id, arg_min(lower(canonical), seq) AS brand, arg_min(lower(
 p AS (SELECT x.id AS a, y.id AS b, x.text AS ta, y.text AS tb FROM t x JOIN t y ON x.brand = y.brand AND x.id < y.id
       AND levenshtein(x.text, y.text) <= 0.205 * (length(x.text) + length(y.text)) + 0.000001),
 {SCORED},
-m AS (SELECT id_a, id_b FROM r WHERE ratio >= 90 AND length(ta) > 3 AND length(tb) > 3),
+m AS MATERIALIZED (SELECT id_a, id_b FROM r WHERE ratio >= 90 AND length(ta) > 3 AND length(tb) > 3),
 {GREEDY},
 f AS (SELECT k.*, coalesce(leader, comp) AS cluster FROM k LEFT JOIN s ON member = comp)
 """
