@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -19,10 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
+ROUNDED: dict[str, tuple[str, ...]] = {}
 
 
-def define(name: str, inputs: str, sql: str) -> None:
+def define(name: str, inputs: str, sql: str, rounded: str = "") -> None:
+    """``rounded``: columns of doubles that the text casts to integers. The reference rounds them, half to even; Spark's cast cuts."""
     VIEWS[name] = (sql, tuple(inputs.split()))
+    ROUNDED[name] = tuple(rounded.split())
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,7 +36,9 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf, name)
     sql, inputs = VIEWS[name]
-    return spark.sql(sql, **{i: view(spark, sf, i) for i in inputs})
+    frames = {i: view(spark, sf, i) for i in inputs}
+    rounded = lambda df: df.withColumns({c: F.rint(c) for c in ROUNDED[name] if c in df.columns})
+    return spark.sql(sql, **{i: rounded(df) for i, df in frames.items()})
 
 
 def _closure(names: list[str], seen: list[str]) -> list[str]:
@@ -131,7 +136,7 @@ SELECT CAST(l_partkey AS BIGINT) AS item_id, (CAST(l_orderkey AS BIGINT) * 10 +
        CAST(l_extendedprice AS BIGINT) AS bytes, CAST(l_quantity AS INT) AS width, l_discount AS fraction,
        CAST(l_suppkey AS BIGINT) AS supplier_id
 FROM {lineitem}
-""")
+""", rounded="l_extendedprice l_quantity")
 
 # Stored files: the ones of returned lines, and one unreferenced file per order.
 define("inventory", "images orders", """

@@ -46,3 +46,23 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).columns[:3] == ["cluster", "seq", "n_records"]
+
+
+@pytest.mark.parametrize("name", ["flag_has_detail", "pick_best_image", "triage"])
+def test_bytes_round_like_the_reference(spark, tmp_path, name):
+    """Casts of prices around a bound: the reference rounds half to even, where Spark's cast would cut."""
+    import duckdb
+
+    from pyspark.sql import functions as F
+
+    connection = duckdb.connect()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    near = F.element_at(F.array(*[F.lit(x) for x in (2999.5, 2999.4, 9999.6, 9999.5, 19999.7, 19999.5, 19998.5)]), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    lines.withColumn("l_extendedprice", near).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for other in TABLES:
+        if other != "lineitem":
+            os.symlink(f"{SF}/{other}.parquet", f"{tmp_path}/{other}.parquet")
+        connection.execute(f"CREATE VIEW {other} AS SELECT * FROM '{tmp_path}/{other}.parquet{'/*.parquet' if other == 'lineitem' else ''}'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    cursor = connection.execute(entry.oracle_sql()[name])
+    assert table(df.columns, df.collect()) == table([d[0] for d in cursor.description], cursor.fetchall())
