@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catloom.checks.base import check, define, table, view
 from catloom.functions.values import compute_once
 from catloom.operators import extract
-from catloom.runtime import work_folder
+from catloom.runtime import spread, work_folder
 from catloom.sources import files
 from catloom.streaming import resume, toggles
 
@@ -22,7 +22,7 @@ FROM {items}
 
 
 def _params(spark, sf):
-    return compute_once(view(spark, sf, "articles"), params=extract.kv_block("wikitext", ["Infobox camera", "Infobox camera model"]))
+    return compute_once(spread(view(spark, sf, "articles")), params=extract.kv_block("wikitext", ["Infobox camera", "Infobox camera model"]))
 
 
 @check("kv_block", "articles", """
@@ -59,7 +59,7 @@ def _list_pages(spark, sf):
     s = lambda c: F.col(c).cast("string")
     ids = F.concat(s("l_partkey"), F.lit("-"), s("l_linenumber"), F.lit("-"), s("l_suppkey"))
     row = F.concat(F.lit("|-\n| [[Film "), ids, F.lit("|F "), ids, F.lit("]]\n| align=right | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" || "), F.col("l_returnflag"))
-    pages = l.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    pages = spread(l.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows")))
     head = F.concat(F.lit("== [[Maker "), (F.col("page_id") % 7).cast("string"), F.lit("|M]] ==\n{| class=\"wikitable\"\n! Film !! style=\"x\" | ISO !! Note\n"))
     return pages.select("page_id", F.concat(head, "rows", F.lit("\n|}\ntext")).alias("wikitext"))
 
@@ -146,7 +146,7 @@ def _(spark, sf):
 @check("html_cards", "listings", """
 SELECT item_id, pos AS listing, title, CASE WHEN currency = 'USD' AND round(price) BETWEEN 5 AND 50000 THEN CAST(round(price) AS DOUBLE) END AS price FROM listings""")
 def _(spark, sf):
-    l = view(spark, sf, "listings")
+    l = spread(view(spark, sf, "listings").select("item_id", "pos", "title", "price", "currency"))
     style = F.when(F.col("currency") == "USD", F.lit("s-card__price bold")).when(F.col("currency") == "JPY", F.lit("bold strikethrough s-card__price")).otherwise(F.lit("s-card__price"))
     # Crossed and stray tags, hidden and secondary texts, an open item in front, and a card outside the results.
     html = F.concat(
@@ -243,11 +243,11 @@ def _(spark, sf):
 @check("file_inventory", "", """
 SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '') || chr(10)) AS digest FROM documents""")
 def _(spark, sf):
-    # One file for each document, in a folder of its own.
+    # One file for each document, named by its id.
     out = work_folder(spark)
-    table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(out)
-    found = files.file_inventory(spark, out).where("name like 'part-%'")
-    return found.select(F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "size", "digest")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    files.write_texts(docs, out, "name", "text")
+    return files.file_inventory(spark, out).select(F.regexp_extract("name", r"^(.*)\.txt$", 1).try_cast("long").alias("doc_id"), "size", "digest")
 
 
 @check("write_and_read_records", "items", "SELECT name, year, fmt FROM items")

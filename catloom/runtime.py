@@ -33,6 +33,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows ahead of costly work on each: by bytes they would fill a few tasks, so they are dealt to four per core.
+
+    The number is stated, which keeps adaptive execution from joining the parts again. A task streams its rows.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def fits_bytes(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True when the optimizer's estimate of ``df`` is at most ``limit`` bytes; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit

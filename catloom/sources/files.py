@@ -9,6 +9,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -61,6 +62,8 @@ def write_catalog(df: DataFrame, path: str) -> None:
 
 
 CHUNK = 1 << 20
+#: Files in one folder, and paths that a task lists or digests.
+FOLDER_FILES, TASK_FILES = 1000, 2000
 
 
 def _locate(path: str) -> tuple[FileSystem, str]:
@@ -71,6 +74,43 @@ def _locate(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(quote(path, safe="/:@=+,"))
 
 
+def _rooted(spark: SparkSession, root: str) -> str:
+    """``root`` with a scheme; a path without one belongs to the default file system."""
+    if ":" in root:
+        return root
+    base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return ("file:" if base.startswith("file:") else base.rstrip("/")) + os.path.abspath(root)
+
+
+def write_texts(df: DataFrame, root: str, name: str, text: str) -> None:
+    """One file ``name``.txt below ``root`` for each row, by the tasks themselves, at most ``FOLDER_FILES`` in a folder.
+
+    A folder belongs to one task, so equal names stay apart and the driver moves no file; a task that is tried again writes the
+    same files again. A null name is the empty one.
+    """
+    top = _rooted(df.sparkSession, root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _locate(top)
+        task, done, names = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if done % FOLDER_FILES == 0:
+                    base, names = f"{inner}/{task}-{done // FOLDER_FILES}", set()
+                    system.create_dir(base)
+                folder = base
+                if own in names:
+                    folder = f"{base}/{done}"
+                    system.create_dir(folder)
+                names.add(own)
+                with system.open_output_stream(f"{folder}/{own or ''}.txt") as stream:
+                    stream.write(content or b"")
+                done += 1
+        yield pa.RecordBatch.from_pydict({"files": [done]}, schema=pa.schema([("files", pa.int64())]))
+
+    df.select(F.col(name), F.col(text)).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of each folder; a folder that is gone has none."""
     for batch in batches:
@@ -109,14 +149,12 @@ def file_inventory(spark: SparkSession, root: str, ignore: Sequence[str] = (".DS
     a file may be larger than the memory. ``digest`` may be left out. Works on the file systems that Arrow opens (local, HDFS,
     S3, GCS); a path without a scheme belongs to the default one.
     """
-    if ":" not in root:
-        base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        root = ("file:" if base.startswith("file:") else base.rstrip("/")) + os.path.abspath(root)
+    root = _rooted(spark, root)
     entries = "path string, name string, size long, modified timestamp"
     folders = spark.createDataFrame([(root,)], "path string")
     levels: list[DataFrame] = []
     while not folders.isEmpty():
-        levels.append(cut_lineage(folders.repartition("path").mapInArrow(_children, entries)))
+        levels.append(cut_lineage(_by_path(folders).mapInArrow(_children, entries)))
         folders = levels[-1].where("size is null").select("path")
     listed = spark.createDataFrame([], entries)
     for level in levels:
@@ -124,7 +162,13 @@ def file_inventory(spark: SparkSession, root: str, ignore: Sequence[str] = (".DS
     listed = listed.where(~F.col("name").isin(list(ignore)))
     if not digest:
         return listed
-    return listed.repartition("path").mapInArrow(_digests, entries + ", digest string")
+    return _by_path(listed).mapInArrow(_digests, entries + ", digest string")
+
+
+def _by_path(paths: DataFrame) -> DataFrame:
+    """Paths dealt to tasks by their number: names are short, so by bytes all would share one task."""
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.repartition(max(cores, -(-paths.count() // TASK_FILES)), "path")
 
 
 def read_dimension(spark: SparkSession, path: str, columns: str) -> DataFrame:

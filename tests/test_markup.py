@@ -106,3 +106,37 @@ def test_file_inventory_digests_in_chunks(spark, tmp_path, monkeypatch):
     assert files.file_inventory(spark, f"file:{tmp_path}", digest=False).count() == 4
     assert files.file_inventory(spark, f"{tmp_path}/nowhere").count() == 0
     assert files.file_inventory(spark, str(tmp_path)).where(F.col("size") > 100).count() == 2
+
+
+def test_plain_pages_read_as_the_parser_reads_them(monkeypatch):
+    """Random plain, crossed and broken pages: the quick reading gives the parser's cards; plain ones need no parser."""
+    import random
+
+    from catloom.operators.markup import CardReader
+
+    choice, pieces = random.Random(5), [
+        '<li class="s-card">', "</li>", "<ul>", "</ul>", '<div id="srp-river-results">', "</div>", '<div class="s-card__title x">', "<b>", "</b>", "<br>",
+        '<span class="su-styled-text primary">', "</span>", '<span class="s-card__price bold">', "text", " $5 ", "a &amp; b", "&lt", "<script>x & y</script>",
+        "<style>p</style>", "<SPAN CLASS=\"s-card__price\">", "\n", "<i>"]
+    rough = ["<br/>", "<a href=x>", "<!-- c -->", "<", ">", "<script>a<b</script>", "<title>t</title>", "&", "</b x>", "<p hidden>"]
+    page = lambda some: "<div>" + "".join(choice.choices(some, k=40)) + "</div>"
+    pages = [page(pieces) for _ in range(600)] + [page(pieces + rough) for _ in range(600)]
+    quick = CardReader(extract.LISTING, extract.LISTING_FIELDS, extract.RESULTS)
+    slow = CardReader(extract.LISTING, extract.LISTING_FIELDS, extract.RESULTS)
+    monkeypatch.setattr(slow, "_read_plain", lambda page: False)
+    got = [quick.rows(p) for p in pages]
+    assert got == [slow.rows(p) for p in pages] and sum(map(len, got)) > 300
+    monkeypatch.setattr(quick, "feed", None)
+    assert [quick.rows(p) for p in pages[:600]] == got[:600]
+
+
+def test_one_file_for_each_text(spark, tmp_path):
+    """Equal names, null names and texts; folders stay bounded, and listing spreads over tasks."""
+    rows = spark.createDataFrame([("1", "a"), ("1", "b"), (None, "c"), ("2", None)] + [(f"n{i}", "x") for i in range(2100)], "n string, t string").coalesce(1)
+    files.write_texts(rows, str(tmp_path / "out"), "n", "t")
+    found = files.file_inventory(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() >= 8
+    got = found.collect()
+    assert len(got) == 2104 and sorted(r["name"] for r in got if len(r["name"]) < 6 and r["name"][0] in "12.") == [".txt", "1.txt", "1.txt", "2.txt"]
+    assert {r["size"] for r in got if r["name"] == "2.txt"} == {0}
+    assert max(sum(1 for _ in d.iterdir()) for d in (tmp_path / "out").iterdir()) <= 1001
