@@ -36,6 +36,8 @@ VALUE_MARKUP = (
     (r"&nbsp;", " "),
     (r"&ndash;|&mdash;", "-"),
 )
+# Every pattern above needs one of these signs.
+MARKUP_SIGN = r"[\[\]{}'<&]"
 
 
 def _int(text: Column) -> Column:
@@ -52,7 +54,10 @@ def years(first: Column, last: Column) -> Column:
 
 def clean_markup(c: Column | str, keep_wrapped: bool = True) -> Column:
     """Plain text of a wiki markup value. ``keep_wrapped`` keeps what nowrap and convert wrap."""
-    return strip(squeeze(replace_chain(c, (*WRAPPED_MARKUP, *VALUE_MARKUP) if keep_wrapped else VALUE_MARKUP)))
+    steps = (*WRAPPED_MARKUP, *VALUE_MARKUP) if keep_wrapped else VALUE_MARKUP
+    value = as_col(c)
+    # Most values hold no markup: they skip the replacements.
+    return strip(squeeze(F.when(value.rlike(MARKUP_SIGN), replace_chain(value, steps)).otherwise(value)))
 
 
 def year_range(c: Column | str) -> Column:
