@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +71,15 @@ def strip_accents(c: Column | str) -> Column:
     return F.when(plain, col).otherwise(F.translate(col, _ACCENTED + _MARKS, _PLAIN))
 
 
-@F.pandas_udf(T.StringType())
-def fold_unicode(values: pd.Series) -> pd.Series:
-    """Full compatibility decomposition without marks, for scripts ``strip_accents`` leaves alone."""
-    decomposed = values.str.normalize("NFKD")
-    return decomposed.map(
-        lambda s: None if s is None else "".join(ch for ch in s if not unicodedata.combining(ch))
-    )
+@F.udf(T.StringType(), useArrow=False)
+def fold_unicode(value: str | None) -> str | None:
+    """Full compatibility decomposition without marks, for scripts ``strip_accents`` leaves alone.
+
+    Rows travel a hundred at a time, so a worker's memory does not depend on how many texts fill an Arrow batch.
+    """
+    if value is None or value.isascii():
+        return value
+    return "".join(ch for ch in unicodedata.normalize("NFKD", value) if not unicodedata.combining(ch))
 
 
 def ascii_fold(c: Column | str) -> Column:
