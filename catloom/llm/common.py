@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,13 +21,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: a lineage cut that outlives executors."""
+#: Rows a file of tables whose size is known.
+FILE_ROWS = 20_000
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: a lineage cut that outlives executors.
+
+    ``rows`` is about the most that it has or joins; small tables are then written by few tasks into few files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(2, -(-rows // FILE_ROWS)))
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of frames that :func:`stored` made and nothing reads any more."""
+    for frame in frames:
+        files = frame.inputFiles()
+        if files:
+            spark = frame.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: its cleaner waits for the driver to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(column: Column | str) -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
