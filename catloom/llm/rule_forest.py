@@ -12,6 +12,8 @@ from catloom.llm.common import map_batches, raw, stored
 from catloom.llm.text_stats import BASE, FEATURES, base_stats, features
 
 EULER = 0.5772156649015329
+#: Bins of the scores when the threshold is chosen; every labelled row is counted in one.
+BINS = 1 << 16
 
 
 def rule_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,8 +41,8 @@ def _mean_path(n: float) -> float:
 class IsolationForest:
     """Trees of random axis splits, stored as flat arrays; short mean paths mark anomalies.
 
-    ``fit`` gets a bounded sample; each tree sees ``per_tree`` rows of it. A constant sample or an
-    empty one makes trees of a single leaf, whose score is the same for all rows.
+    Each tree sees ``per_tree`` rows, as the method has it: rows of its own if there are enough for all trees. Constant rows
+    or none make trees of a single leaf, whose score is the same for all rows.
     """
 
     def __init__(self, n_trees: int = 100, per_tree: int = 256, seed: int = 7):
@@ -52,8 +54,12 @@ class IsolationForest:
         size = min(self.per_tree, len(rows))
         depth = int(np.ceil(np.log2(max(size, 2))))
         self.norm = max(_mean_path(size), 1e-9)
-        for _ in range(self.n_trees):
-            own = rows[rng.choice(len(rows), size, replace=False)] if size else rows
+        dealt = rng.permutation(len(rows)) if len(rows) >= self.n_trees * self.per_tree else None
+        for tree in range(self.n_trees):
+            if dealt is not None:
+                own = rows[dealt[tree * size:(tree + 1) * size]]
+            else:
+                own = rows[rng.choice(len(rows), size, replace=False)] if size else rows
             self.trees.append(self._grow(own, depth, rng))
         return self
 
@@ -110,42 +116,46 @@ def bounded_sample(df: DataFrame, id: str, bound: int, by: Sequence[str] = ()) -
         share *= 4
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, most_lost: float) -> float:
-    """The score above which a row is an anomaly: best balanced accuracy, losing at most ``most_lost`` of the good rows."""
-    if not len(scores) or good.all() or not good.any():
+def calibrate_counts(tops: np.ndarray, good: np.ndarray, bad: np.ndarray, most_lost: float) -> float:
+    """The score above which a row is an anomaly: best balanced accuracy, losing at most ``most_lost`` of the good rows.
+
+    ``tops`` are rising scores; ``good`` and ``bad`` count the rows from the score before up to each.
+    """
+    n_good, n_bad = good.sum(), bad.sum()
+    if not n_good or not n_bad:
         return 1.0  # no evidence: nothing is anomalous
-    order = np.unique(scores)
-    n_good, n_bad = good.sum(), (~good).sum()
-    lost = 1 - np.searchsorted(np.sort(scores[good]), order, side="right") / n_good
-    caught = 1 - np.searchsorted(np.sort(scores[~good]), order, side="right") / n_bad
+    lost, caught = 1 - np.cumsum(good) / n_good, 1 - np.cumsum(bad) / n_bad
     gain = np.where(lost <= most_lost, caught - lost, -1.0)
-    return float(order[int(gain.argmax())])
+    return float(tops[int(gain.argmax())])
+
+
+def calibrate(scores: np.ndarray, good: np.ndarray, most_lost: float) -> float:
+    """:func:`calibrate_counts` of rows in memory."""
+    order, at = np.unique(scores, return_inverse=True)
+    return calibrate_counts(order, np.bincount(at[good], minlength=len(order)), np.bincount(at[~good], minlength=len(order)), most_lost)
 
 
 def forest_rules(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
-    min_words: int = 50, max_repeat_percent: int = 50, sample_rows: int = 8000, most_lost: float = 0.005,
+    min_words: int = 50, max_repeat_percent: int = 50, most_lost: float = 0.005,
     n_trees: int = 100, per_tree: int = 256,
 ) -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, anomaly, kept.
 
     The base rule rejects texts with fewer than ``min_words`` words or with more than
     ``max_repeat_percent`` percent of their words in repeated 3-word windows. The forest learns the
-    ordinary range of the statistics from labelled good rows that pass the base rule, and the threshold
-    from all labelled rows that pass: at most ``sample_rows`` labelled rows, a documented bound, are brought to the
-    driver. Every row is scored. Null and empty texts fail the base rule; several labels for an id count
+    ordinary range of the statistics from labelled good rows that pass the base rule: the rows of its trees, ``per_tree`` each,
+    are drawn from all of these by hash. The threshold is set on the counts of all labelled rows that pass, in
+    ``BINS`` bins of their scores. Every row is scored. Null and empty texts fail the base rule; several labels for an id count
     as their minimum; without usable labels the forest rejects nothing. Repeated rows get equal verdicts.
     """
     stats = stored(rule_statistics(docs, id, text))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     marked = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_lid")).agg(
         F.min(label).alias("_label"))
-    known = stats.where(~failed).join(marked, F.col(id) == F.col("_lid")).select(id, "features", "_label")
-    sample = bounded_sample(known, id, sample_rows)
-    rows = np.array([r["features"] for r in sample], float).reshape(len(sample), len(FEATURES))
-    good = np.array([r["_label"] == 1 for r in sample], bool)
-    forest = IsolationForest(n_trees, per_tree).fit(rows[good])
-    limit = calibrate(forest.score(rows), good, most_lost)
+    labelled = lambda rows: rows.where(~failed).join(marked, F.col(id) == F.col("_lid"))
+    drawn = bounded_sample(labelled(stats).where("_label = 1").select(id, "features"), id, n_trees * per_tree)
+    forest = IsolationForest(n_trees, per_tree).fit(np.array([r["features"] for r in drawn], float).reshape(len(drawn), len(FEATURES)))
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -158,7 +168,11 @@ def forest_rules(
 
     fields = "_id long, " + ", ".join(f"{c} long" for c in BASE) + ", anomaly double"
     scored = map_batches(stats.select(F.col(id).cast("long").alias("_id"), *BASE, "features"), fields, make)
+    scored = stored(scored.withColumnRenamed("_id", id))
+    good = F.count_if(F.col("_label") == 1)
+    bins = labelled(scored).groupBy(F.floor(F.col("anomaly") * BINS).alias("_bin")).agg(
+        F.max("anomaly").alias("top"), good.alias("good"), (F.count("*") - good).alias("bad")).orderBy("_bin").toArrow()  # at most BINS rows
+    limit = calibrate_counts(*(bins[c].to_numpy() for c in ("top", "good", "bad")), most_lost)
     return scored.select(
-        F.col("_id").alias(id), *BASE, failed.alias("base_failed"), "anomaly",
-        (~failed & (F.col("anomaly") <= limit)).alias("kept"),
+        id, *BASE, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") <= limit)).alias("kept"),
     )

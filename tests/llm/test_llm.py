@@ -469,6 +469,23 @@ def test_bounded_sample(spark):
     assert len(rule_forest.bounded_sample(spark.range(3), "id", 50)) == 3 and rule_forest.bounded_sample(spark.range(0), "id", 5) == []
 
 
+def test_threshold_counts_all_labelled_rows(spark, monkeypatch):
+    """Each labelled row that passes the base rule is counted, and the threshold is that of all scores; trees draw from all good rows."""
+    sf, seen, whole = SF.replace("0.001", "0.01"), [], rule_forest.calibrate_counts
+    monkeypatch.setattr(rule_forest, "calibrate_counts", lambda *a: (seen.append((*a, whole(*a))), seen[-1][-1])[1])
+    drawn, fit = [], rule_forest.IsolationForest.fit
+    monkeypatch.setattr(rule_forest.IsolationForest, "fit", lambda self, rows: (drawn.append(len(rows)), fit(self, rows))[1])
+    marks = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = rule_forest.forest_rules(docs, marks, n_trees=4, per_tree=8)
+    rows = got.where("not base_failed").join(marks.where("quality is not null"), "doc_id").collect()
+    tops, good, bad, most_lost, limit = seen[0]
+    assert (good.sum(), bad.sum()) == (sum(r["quality"] == 1 for r in rows), sum(r["quality"] != 1 for r in rows)) and drawn == [32]
+    scores, marked = np.array([r["anomaly"] for r in rows]), np.array([r["quality"] == 1 for r in rows])
+    assert abs(limit - rule_forest.calibrate(scores, marked, most_lost)) <= 2 / rule_forest.BINS
+    assert (scores > limit)[marked].mean() <= most_lost
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     inner, outer = rng.normal(0, 1, (500, 3)), rng.normal(0, 1, (20, 3)) + 8
