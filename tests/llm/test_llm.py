@@ -519,6 +519,45 @@ def test_pair_weights_follow_preferences():
     assert ((model.score(x) >= 0.3) == good).mean() > 0.95 and model.weights[0] > 0 > model.weights[1]
 
 
+def test_pair_loss_counts_all_pairs():
+    """The binned loss, slope and curvature are those of every pair made one by one, and the fitted weights have no slope left."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    good = (x @ [1, -1, 0.5, 0] + rng.normal(size=300) > 0).astype(int)
+    gaps = (x[good == 1][:, None] - x[good == 0][None]).reshape(-1, 4)
+
+    def slow(w):
+        p = 1 / (1 + np.exp(gaps @ w))
+        return np.logaddexp(0, -gaps @ w).mean() + 5e-4 * w @ w, -(gaps * p[:, None]).mean(axis=0) + 1e-3 * w
+
+    def sums_at(w):
+        sums = pair_quality.Sums.empty(4)
+        sums.add(x, good, w)
+        return sums
+
+    for w in (np.zeros(4), np.array([1.0, -2, 0, 1])):
+        loss, slope, curve = pair_quality.pair_loss(sums_at(w), w, 1e-3)
+        assert loss == pytest.approx(slow(w)[0], rel=1e-3) and np.abs(slope - slow(w)[1]).max() < 2e-3
+        assert np.linalg.eigvalsh(curve).min() > 0
+    assert np.abs(slow(pair_quality.fit_weights(sums_at, 4, 1e-3)[0])[1]).max() < 2e-3
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """More rows than any bound there was: all are counted, in two tasks or more, and the model is that of the same rows in memory."""
+    n = 16_000
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.col("doc_id") % 7), lambda i: F.conv((i + 1) * F.col("doc_id") % 97, 10, 30)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).select("doc_id", text.alias("text")).repartition(3)
+    marks = docs.select("doc_id", (F.col("doc_id") % 7 + F.xxhash64("doc_id") % 3 > 3).cast("int").alias("quality"))
+    seen, whole = [], pair_quality.fit_labelled
+    monkeypatch.setattr(pair_quality, "fit_labelled", lambda rows, threshold: (seen.append((rows.collect(), whole(rows, threshold))), seen[-1][1])[1])
+    pair_quality.pair_quality(docs, marks).count()
+    rows, model = seen[0]
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n)) > 12_000
+    x = pair_quality.terms(np.array([r["features"] for r in rows]), np.array([r["n_words"] for r in rows], float))
+    want = pair_quality.fit_pairs(x, np.array([r["good"] for r in rows]), 0.3)
+    assert np.abs(model.score(x) - want.score(x)).max() < 1e-3
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 
