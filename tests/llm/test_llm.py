@@ -374,6 +374,56 @@ def test_exchange_raises_likelihood():
     assert of[0] == 0 and (of[1:] > 0).all() and value(of) > value(start)
 
 
+def test_every_word_chooses_its_class(spark):
+    """Two kinds of words with one ending: each goes to the class of its own kind, in the head, beyond it, and when it occurs twice."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(300):
+        words = []
+        for _ in range(8):
+            n, v = (rng.integers(2 if rng.random() < 0.4 else 60, size=2).tolist())
+            words += [f"det{rng.integers(4)}", f"n{n}xx", f"verb{rng.integers(4)}", f"v{v}xx"]
+        texts.append(" ".join(words))
+    texts += ["det0 nrarexx verb0 v1xx det0 nrarexx verb0", "verb1 vrarexx det1 n1xx verb2 vrarexx det0"]
+    training = spark.createDataFrame([(t,) for t in texts], "_text string")
+    counts = brown.count_words(training)
+    for head_words in (200, 20):
+        source = training.select(F.lit(1).cast("long").alias("i"), F.lit(False).alias("h"), "_text")
+        _, rows = brown.learn(source, counts, classes=5, single=12, head_words=head_words)
+        got = {}
+        for r in rows.collect():
+            own = np.frombuffer(r["own"], np.uint8).tolist()
+            assert own[-1] == 0 and 0 not in own[:-1]
+            if len(own) == 33:
+                got.setdefault("n", set()).update(own[1:-1:4])
+                got.setdefault("v", set()).update(own[3:-1:4])
+        assert len(got["n"]) == len(got["v"]) == 1 and got["n"] != got["v"]
+        rare = [np.frombuffer(r["own"], np.uint8).tolist() for r in rows.collect() if r["n_known"] == 8]
+        assert sorted({x[1] for x in rare}) == sorted(got["n"] | got["v"])
+
+
+def test_best_classes_raise_likelihood():
+    """Against the likelihood of the table counted anew, for words that do not follow themselves."""
+    rng = np.random.default_rng(4)
+    table = rng.integers(20, 90, (5, 5))
+    for _ in range(40):
+        counts, own = np.zeros((1, 10), np.int64), int(rng.integers(1, 5))
+        for side in (0, 5):
+            np.add.at(counts[0], side + rng.choice([c for c in range(5) if c != own], 9), 1)
+
+        def value(of):
+            t = table.astype(float)
+            t[:, own] -= counts[0, :5]
+            t[own] -= counts[0, 5:]
+            t[:, of] += counts[0, :5]
+            t[of] += counts[0, 5:]
+            f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+            return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+        best = int(brown.best_classes(counts, np.array([own]), table)[0])
+        assert best > 0 and value(best) >= max(value(c) for c in range(1, 5)) - 0.2 and value(best) >= value(own) - 0.2
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
