@@ -275,6 +275,18 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_components_take_no_round_to_confirm(spark, monkeypatch):
+    """Stars take no round, and what one round settles takes one."""
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda *a: (rounds.append(1), star(*a))[1])
+    for edges, want in (([(1, 2), (1, 3), (7, 5), (4, 4)], 0), ([(1, 2), (2, 3)], 1), ([], 0)):
+        rounds.clear()
+        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert len(rounds) == want
+        assert got == {0: {1: 1, 2: 1, 3: 1, 5: 5, 7: 5}, 1: {1: 1, 2: 1, 3: 1}}[want] or not edges and not got
+
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 
