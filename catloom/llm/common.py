@@ -164,16 +164,35 @@ def row_key(id: str, text: str) -> tuple[Column, Column]:
     return F.col(id).cast("long").alias("_id"), F.xxhash64(text_of(text)).alias("_h")
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, id: str, text: str) -> DataFrame:
-    """``docs`` without the rows whose (_id, _h) is in ``dropped``; same columns. Rows without id stay: nothing can name them.
+def _parted(docs: DataFrame, keys: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as (_doc, _id, _h): the rows that surely are not in ``keys`` (_id, _h), and those that may be.
 
-    A bitmap of the dropped rows is tested in the scan, so only rows that may be dropped are exchanged.
+    A bitmap of the keys is tested in the scan, so only rows that may be in them need to be exchanged.
     """
-    dropped = stored(dropped.where("_id is not null").distinct())
-    bits = bitmap_bits(dropped.count())
+    bits = bitmap_bits(keys.count())
     key = F.xxhash64("_id", "_h")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *row_key(id, text)).withColumn("_k", key)
-    marked = mark_members(packed, "_k", key_bitmap(dropped.select(key.alias("_k")), "_k", bits), bits, "_in")
-    maybe = F.col("_in") & F.col("_id").isNotNull()
-    kept = marked.where(~maybe).select("_doc").unionByName(marked.where(maybe).join(dropped, ["_id", "_h"], "left_anti").select("_doc"))
+    marked = mark_members(packed, "_k", key_bitmap(keys.select(key.alias("_k")), "_k", bits), bits, "_in").drop("_k")
+    return marked.where(~F.col("_in")).drop("_in"), marked.where("_in").drop("_in")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose (_id, _h) is in ``dropped``; same columns. Rows without id stay: nothing can name them."""
+    dropped = stored(dropped.where("_id is not null").distinct())
+    others, maybe = _parted(docs, dropped, id, text)
+    return others.select("_doc").unionByName(maybe.join(dropped, ["_id", "_h"], "left_anti").select("_doc")).select("_doc.*")
+
+
+def settle_rows(docs: DataFrame, fates: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` as ``fates``, with one row for each (_id, _h) in it, has it; same columns.
+
+    Rows of a fate that is not ``kept`` go, of the others one row stays, however often it is repeated. A null ``_id`` names the
+    rows without id. Of repeated rows whose other columns differ, the first as JSON stays.
+    """
+    fates = stored(fates)
+    others, maybe = _parted(docs, fates, id, text)
+    named = fates.select(F.col("_id").alias("_i"), F.col("_h").alias("_t"), "kept")
+    met = maybe.join(named, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
+    one = met.where("kept").groupBy("_id", "_h").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    kept = others.select("_doc").unionByName(met.where("kept is null").select("_doc")).unionByName(one.select("_doc"))
     return kept.select("_doc.*")
