@@ -130,6 +130,28 @@ def test_plain_pages_read_as_the_parser_reads_them(monkeypatch):
     assert [quick.rows(p) for p in pages[:600]] == got[:600]
 
 
+def test_pages_of_one_template_are_followed_through_once(monkeypatch):
+    """However many pages share their tags, these are gone through once; texts around and in the tags come out as the parser has them."""
+    from catloom.operators import markup
+
+    page = ('{0}<div id="srp-river-results"><ul><li class="s-card"><div class="s-card__title"><script>var {1} > 1;</script>'
+            '<span class="su-styled-text primary">{1}</span></div><span class="s-card__price bold">{2}{3}')
+    fills = [(" x > y ", f"a &amp; b {i}", f" ${i} > 4 &lt", tail) for i in range(100) for tail in ("", "\n", "</span></li></ul></div>", "</span></li></ul></div> &amp", "<br/>")]
+    pages = [page.format(*fill) for fill in fills] + ["", "no tags > &lt", "a<"]
+    quick = CardReader(extract.LISTING, extract.LISTING_FIELDS, extract.RESULTS)
+    slow = CardReader(extract.LISTING, extract.LISTING_FIELDS, extract.RESULTS)
+    monkeypatch.setattr(slow, "_read_plain", lambda page: False)
+    want = [slow.rows(p) for p in pages]
+    started, start = [], quick._start
+    monkeypatch.setattr(quick, "_start", lambda *a: (started.append(a), start(*a)))
+    assert [quick.rows(p) for p in pages if "<br/>" not in p] == [w for p, w in zip(pages, want, strict=True) if "<br/>" not in p]
+    assert want[0][0][:2] == ["a & b 0", "$0 > 4 <"] and len(started) <= 2 * 7
+    # A reader keeps no more than so many characters of templates, and reads on when it is full.
+    monkeypatch.setattr(markup, "TEMPLATE_CHARS", 300)
+    monkeypatch.setattr(markup, "LONGEST_TEMPLATE", 290)
+    assert [quick.rows(p) for p in pages] == want and quick.kept <= 300 and sum(map(len, quick.templates)) == quick.kept
+
+
 def test_one_file_for_each_text(spark, tmp_path):
     """Equal names, null names and texts; folders stay bounded, and listing spreads over tasks."""
     rows = spark.createDataFrame([("1", "a"), ("1", "b"), (None, "c"), ("2", None)] + [(f"n{i}", "x") for i in range(2100)], "n string, t string").coalesce(1)
